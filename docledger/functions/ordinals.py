@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[Column], name: str
+    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[Column], name: str, *,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based row number inside ``keys``; ``chunk`` must never decrease along ``order``."""
+    """1-based row number inside ``keys``; ``chunk`` must never decrease along ``order``.
+
+    ``counted`` may name a cheaper frame with the same rows per chunk.
+    """
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
-    sizes = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = (df if counted is None else counted).groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys, chunk, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")

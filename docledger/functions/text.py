@@ -61,8 +61,8 @@ def collapse(text: Column) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    """Full case folding through the upper-case form, so that sharp s becomes ss."""
-    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+    """Lower case with the folds that lower case alone leaves out (sharp s, final sigma, long s, micro)."""
+    return F.replace(F.translate(F.lower(text), "ςſµ", "σsμ"), F.lit("ß"), F.lit("ss"))
 
 
 def plain_punctuation(text: Column) -> Column:

@@ -36,6 +36,18 @@ class Dialect:
             "from documents)"
         )
 
+    def unpivot(self, source: str, keep: str, names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+        """One pass over ``source``: every row of expressions becomes one output row."""
+        if self.spark:
+            cells = ", ".join(expr for row in rows for expr in row)
+            return f"select {keep}, {', '.join(names)} from {source} lateral view stack({len(rows)}, {cells}) s as {', '.join(names)}"
+        packed = ", ".join(
+            "struct_pack(" + ", ".join(f"{n} := {e}" for n, e in zip(names, row, strict=True)) + ")" for row in rows)
+        return (
+            f"select {keep}, {', '.join(f's.{n} as {n}' for n in names)} "
+            f"from (select *, unnest([{packed}]) as s from {source})"
+        )
+
     def sha256(self, text: str) -> str:
         return f"sha2({text}, 256)" if self.spark else f"sha256({text})"
 
@@ -110,37 +122,26 @@ def _definitions(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         {iso_date("issued")} as date_iso
       from fx_head""")
     # labelled entities: header on page 0, six item lines per page
+    def cells(label: str, text: str, x: str, y: str, width: int) -> tuple[str, ...]:
+        return (f"'{label}'", text, f"cast({x} as double)", f"cast({y} as double)",
+                f"cast({x} + {width} as double)", f"cast({y} + 12 as double)")
+
+    names = ("label", "text", "x_min", "y_min", "x_max", "y_max")
     header = [
-        ("INVOICE_NUMBER", "document_id", 40), ("INVOICE_SERIAL", "serial", 60),
-        ("INVOICE_DATE", "date_text", 80), ("PAYMENT_METHOD", "payment", 100),
-        ("SUBTOTAL", "sub_text", 900), ("VAT_TOTAL", "vat_text", 920), ("GRAND_TOTAL", "total_text", 940),
-    ]
-    rows = [
-        f"select document_id, cast(0 as bigint) as page_index, 'B-{label}' as label, {text} as text, "
-        f"cast(50 as double) as x_min, cast({y} as double) as y_min, cast(250 as double) as x_max, "
-        f"cast({y + 12} as double) as y_max from fx_print where {text} is not null"
-        for label, text, y in header
+        cells("B-INVOICE_NUMBER", "document_id", "50", "40", 200),
+        cells("B-INVOICE_SERIAL", "serial", "50", "60", 200),
+        cells("B-INVOICE_DATE", "date_text", "50", "80", 200),
+        cells("B-PAYMENT_METHOD", "payment", "50", "100", 200),
+        cells("B-SUBTOTAL", "sub_text", "50", "900", 200),
+        cells("B-VAT_TOTAL", "vat_text", "50", "920", 200),
+        cells("B-GRAND_TOTAL", "total_text", "50", "940", 200),
+        cells("B-BUYER_ORGANIZATION", "substring(buyer, 1, 8)", "50", "120", 100),
+        cells("I-BUYER_ORGANIZATION", "' ' || substring(buyer, 10, 20)", "160", "120", 100),
+        cells("B-SUPPLIER_NAME", "case when doc_key % 6 <> 0 then country end", "50", "140", 100),
+        cells("B-STATUS", "case when doc_key % 5 <> 0 then serial end", "400", "40", 50),
+        cells("O", "case when doc_key % 3 = 0 then 'page note' end", "400", "60", 50),
     ]
-    rows.append(
-        "select document_id, cast(0 as bigint), 'B-BUYER_ORGANIZATION', substring(buyer, 1, 8), cast(50 as double), "
-        "cast(120 as double), cast(150 as double), cast(132 as double) from fx_print where buyer is not null"
-    )
-    rows.append(
-        "select document_id, cast(0 as bigint), 'I-BUYER_ORGANIZATION', ' ' || substring(buyer, 10, 20), cast(160 as double), "
-        "cast(120 as double), cast(260 as double), cast(132 as double) from fx_print where buyer is not null"
-    )
-    rows.append(
-        "select document_id, cast(0 as bigint), 'B-SUPPLIER_NAME', country, cast(50 as double), cast(140 as double), "
-        "cast(150 as double), cast(152 as double) from fx_print where country is not null and doc_key % 6 <> 0"
-    )
-    rows.append(
-        "select document_id, cast(0 as bigint), 'B-STATUS', serial, cast(400 as double), cast(40 as double), "
-        "cast(450 as double), cast(52 as double) from fx_print where doc_key % 5 <> 0"
-    )
-    rows.append(
-        "select document_id, cast(0 as bigint), 'O', 'page note', cast(400 as double), cast(60 as double), "
-        "cast(450 as double), cast(72 as double) from fx_print where doc_key % 3 = 0"
-    )
+    item_y = "200 + 20 * ((line_no - 1) % 6) + (line_no * 7 + doc_key + {k}) % 4"
     items = [
         ("LINE_NUMBER", "cast(line_no as string)", 50), ("MEDICINE_NAME", "p_name", 100),
         ("LOT_NUMBER", "'L' || lpad(cast(part_key as string), 6, '0')", 220),
@@ -148,17 +149,13 @@ def _definitions(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         ("UNIT_PRICE", printed_money(d, d.div("cents", "qty")), 440),
         ("LINE_AMOUNT", printed_money(d, "cents"), 540), ("ITEM_VAT_RATE", "cast(rate as string) || '%'", 640),
     ]
-    item_y = "cast(200 + 20 * ((line_no - 1) % 6) + (line_no * 7 + doc_key + {k}) % 4 as double)"
-    for k, (label, text, x) in enumerate(items):
-        y = item_y.format(k=k)
-        rows.append(
-            f"select document_id, {d.div('(line_no - 1)', '6')}, 'B-{label}', {text}, cast({x} as double), {y}, "
-            f"cast({x + 50} as double), {y} + 12 from fx_item"
-        )
+    lines = [cells(f"B-{label}", text, str(x), f"({item_y.format(k=k)})", 50) for k, (label, text, x) in enumerate(items)]
     defs["fx_item"] = (("fx_lines",), """
       select 'INV-' || lpad(cast(l.doc_key as string), 8, '0') as document_id, l.doc_key, l.line_no, l.part_key,
         l.qty, l.cents, l.rate, l.ship, l.flag, p.p_name from fx_lines l left join part p on l.part_key = p.p_partkey""")
-    defs["fx_ent"] = (("fx_print", "fx_item"), "\n union all ".join(rows))
+    defs["fx_ent"] = (("fx_print", "fx_item"), f"""
+      select * from ({d.unpivot("fx_print", "document_id, cast(0 as bigint) as page_index", names, header)}) where text is not null
+      union all {d.unpivot("fx_item", f"document_id, {d.div('(line_no - 1)', '6')} as page_index", names, lines)}""")
     # printed tokens of whole documents: twelve to a line, forty lines to a page
     defs["fx_words"] = ((), d.words())
     defs["fx_tok"] = (("fx_words",), f"""
@@ -210,22 +207,23 @@ def _definitions(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         ("invoices[0].workflow_fields.status.source", "string", "'invoice'"),
         ("invoices[0].validation.item_count", "number", "cast(n_lines as string)"),
     ]
-    field_rows = [
-        f"select doc_key, document_id, '{path}' as path, case when {value} is null then 'null' else '{kind}' end as kind, "
-        f"{value} as text from fx_print"
-        for path, kind, value in fields
-    ]
+    def typed(path: str, kind: str, value: str) -> tuple[str, ...]:
+        return (path, f"case when {value} is null then 'null' else '{kind}' end", value)
+
     item_fields = [
         ("line_number", "number", "cast(line_no as string)"), ("medicine_name", "string", "p_name"),
         ("lot_number", "string", "'L' || lpad(cast(part_key as string), 6, '0')"),
         ("quantity", "number", "cast(qty as string)"), ("line_amount", "number", plain_money(d, "cents")),
     ]
-    field_rows += [
-        f"select doc_key, document_id, 'invoices[0].items[' || cast(line_no - 1 as string) || '].{name}', "
-        f"case when {value} is null then 'null' else '{kind}' end, {value} from fx_item"
+    head_rows = [typed(f"'{path}'", kind, value) for path, kind, value in fields]
+    item_rows = [
+        typed(f"'invoices[0].items[' || cast(line_no - 1 as string) || '].{name}'", kind, value)
         for name, kind, value in item_fields
     ]
-    defs["fx_gt"] = (("fx_print", "fx_item"), "\n union all ".join(field_rows))
+    record = ("path", "kind", "text")
+    defs["fx_gt"] = (("fx_print", "fx_item"), f"""
+      {d.unpivot("fx_print", "doc_key, document_id", record, head_rows)}
+      union all {d.unpivot("fx_item", "doc_key, document_id", record, item_rows)}""")
     defs["fx_pred"] = (("fx_gt",), """
       select doc_key, document_id, path, kind,
         case when path like '%payment_method' and doc_key % 5 = 0 then '9-OTHER'

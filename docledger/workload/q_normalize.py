@@ -76,7 +76,7 @@ def n2(spark, sf):
 
 
 _N4 = r"trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '[\s:;|,_]+', ' ', 'g'), ' .-''""')"
-_PUNCT = "replace(translate({c}, ' “”„’‘–—−：，．／', ' \"\"\"''---:,./'), '…', '...')"
+_PUNCT = "replace(translate({c}, ' “”„’‘–—−：，．／', ' \"\"\"''''---:,./'), '…', '...')"
 _N4_TEXT = _N4.format(c=_PUNCT.format(c="text"))
 
 
