@@ -77,7 +77,7 @@ def geo4(spark, sf):
 
 
 _FOLD = """
-  grouped as (select document_id, page_index, list(struct_pack(k := tok, x := x_min, y := y_min, i := {ident}, c := (y_min + y_max) / 2,
+  grouped as (select document_id, page_index, list(struct_pack(k := tok, x := x_min, y := y_min, i := {ident}, txt := text, c := (y_min + y_max) / 2,
       t := {reach}) order by y_min, x_min, {ident}) as rs from {source} group by 1, 2),
   folded as (select document_id, page_index, list_reduce(rs, lambda a, r: case
       when a.n > 0 and abs(r.c - a.s / a.n) <= r.t then {{'s': a.s + r.c, 'n': a.n + 1, 'line': a.line, 'lines': list_append(a.lines, a.line)}}
