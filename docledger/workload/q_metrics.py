@@ -339,7 +339,7 @@ def _renamed(sql: str, suffix: str, *names: str) -> str:
     return sql
 
 
-_RUN_IOU = _renamed(_IOU, "box", "pairs", "m", "f", "np", "ng", "pg")
+_RUN_IOU = _renamed(_IOU, "box", "pairs", "m", "f")
 _RUN_SETS = _renamed(_SETS.format(group="", key="", by=""), "ent", "j", "c").rsplit("  select  tp", 1)[0].replace(
     "p as (select distinct", "p_ent as (select distinct").replace("g as (select distinct", "g_ent as (select distinct").replace(
     "from p full outer join g", "from p_ent p full outer join g_ent g")
