@@ -48,6 +48,9 @@ class Dialect:
             f"from (select *, unnest([{packed}]) as s from {source})"
         )
 
+    def array(self, *items: str) -> str:
+        return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
+
     def sha256(self, text: str) -> str:
         return f"sha2({text}, 256)" if self.spark else f"sha256({text})"
 
@@ -249,6 +252,70 @@ def _definitions(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         case when item_index % 3 = 2 and doc_key % 3 = 0 then 'L999999' else lot_number end as lot_number,
         case when doc_key % 8 = 0 then '99' else quantity end as quantity, line_amount
       from fx_items_gt where doc_key % 17 <> 0""")
+    # known values and recognised regions of printed documents
+    field = ("ord", "field_path", "label", "normalization_kind", "gt_value", "item_index", "line_number")
+
+    def known(order: str, path: str, label: str, kind: str, value: str, item: str, line: str) -> tuple[str, ...]:
+        return (f"cast({order} as bigint)", path, f"'{label}'", f"'{kind}'", value, f"cast({item} as bigint)", f"cast({line} as bigint)")
+
+    head_fields = [
+        known("1", "'invoices[0].invoice.invoice_number'", "INVOICE_NUMBER", "identifier", "document_id", "null", "null"),
+        known("2", "'invoices[0].invoice.invoice_date'", "INVOICE_DATE", "date", "date_iso", "null", "null"),
+        known("3", "'invoices[0].buyer.buyer_organization'", "BUYER_ORGANIZATION", "text", "'Customer ' || substring(buyer, 10, 20)", "null", "null"),
+        known("4", "'invoices[0].totals.subtotal_excluding_vat'", "SUBTOTAL", "money", plain_money(d, "sub_cents"), "null", "null"),
+        known("5", "'invoices[0].totals.grand_total'", "GRAND_TOTAL", "money", plain_money(d, "total_cents"), "null", "null"),
+    ]
+    item_path = "'invoices[0].items[' || cast(line_no - 1 as string) || '].{n}'"
+    item_known = [
+        known(f"10 + 3 * line_no + {k}", item_path.format(n=n), label, kind, value, "line_no - 1", "line_no")
+        for k, (n, label, kind, value) in enumerate((
+            ("medicine_name", "MEDICINE_NAME", "text", "p_name"), ("quantity", "QUANTITY", "number", "cast(qty as string)"),
+            ("line_amount", "LINE_AMOUNT", "money", plain_money(d, "cents"))))
+    ]
+    defs["fx_fields"] = (("fx_print", "fx_item"), f"""
+      select * from ({d.unpivot("fx_print", "document_id, doc_key, cast(0 as bigint) as page_index, cast(0 as bigint) as invoice_index", field, head_fields)}) where gt_value is not null
+      union all {d.unpivot("fx_item", f"document_id, doc_key, {d.div('(line_no - 1)', '6')} as page_index, cast(0 as bigint) as invoice_index", field, item_known)}""")
+    seen = ("ord", "region_id", "text", "x_min", "y_min", "x_max", "y_max")
+
+    def printed(order: str, name: str, text: str, x: str, y: str, width: int) -> tuple[str, ...]:
+        return (f"cast({order} as bigint)", f"document_id || {name}", text, f"cast({x} as double)", f"cast({y} as double)",
+                f"cast({x} + {width} as double)", f"cast({y} + 12 as double)")
+
+    whole = "'Customer ' || substring(buyer, 10, 20)"
+    head_regions = [
+        printed("1", "'-num'", "'Số: ' || document_id", "50", "40", 200),
+        printed("2", "'-again'", "case when doc_key % 4 = 0 then document_id end", "50", "60", 200),
+        printed("3", "'-date'", "date_text", "50", "80", 200),
+        printed("4", "'-who'", f"case when doc_key % 3 = 0 then 'Customer' when doc_key % 5 = 0 then 'Custmer ' || substring(buyer, 10, 20) when doc_key % 2 = 1 then upper({whole}) else {whole} end", "50", "120", 90),
+        printed("5", "'-whom'", "case when doc_key % 3 = 0 then substring(buyer, 10, 20) end", "150", "120", 90),
+        printed("6", "'-sub'", "'Tong tien hang: ' || sub_text", "50", "900", 200),
+        printed("7", "'-total'", "total_text || ' VND'", "50", "940", 200),
+        printed("8", "'-note'", "case when doc_key % 7 = 0 then ' ' else 'page note' end", "400", "60", 60),
+    ]
+    at = "200 + 20 * ((line_no - 1) % 6) + (line_no * 7 + doc_key + {k}) % 4"
+    item_regions = [
+        printed(f"10 + 3 * line_no + {k}", f"'-{n}' || cast(line_no as string)", text, str(x), f"({at.format(k=k)})", 60)
+        for k, (n, text, x) in enumerate((("name", "p_name", 100), ("qty", "cast(qty as string)", 380), ("amount", printed_money(d, "cents"), 540)))
+    ]
+    defs["fx_regions"] = (("fx_print", "fx_item"), f"""
+      select *, cast(60 + (31 * doc_key + 7 * ord) % 40 as double) / 100 as detection_confidence, cast(70 + (13 * doc_key + 11 * ord) % 30 as double) / 100 as recognition_confidence
+      from (select * from ({d.unpivot("fx_print", "document_id, doc_key, cast(0 as bigint) as page_index", seen, head_regions)}) where text is not null
+        union all {d.unpivot("fx_item", f"document_id, doc_key, {d.div('(line_no - 1)', '6')} as page_index", seen, item_regions)})""")
+    # finished alignments in every quality, and the tokens they refer to
+    mix = "(31 * doc_key + 17 * ord)"
+    own, after = "document_id || '-r' || cast(ord as string)", "document_id || '-r' || cast(ord + 1 as string)"
+    defs["fx_align"] = (("fx_fields",), f"""
+      select document_id, doc_key, ord, field_path, label, gt_value, page_index,
+        case when {mix} % 5 = 0 then lower(gt_value) || 'x' else gt_value end as ocr_text, page_index + 1 as page,
+        case {mix} % 7 when 0 then 'exact' when 1 then 'exact_normalized' when 2 then 'fuzzy' when 3 then 'multi_box_exact' when 4 then 'money_normalized' when 5 then 'value_substring' else 'whitespace_normalized' end as match_method,
+        cast(case when {mix} % 7 in (2, 5) then 86 when {mix} % 19 = 0 then 97 else 99 end as double) / 100 as match_confidence,
+        cast(75 + {mix} % 25 as double) / 100 as recognition_confidence, cast(78 + {mix} % 22 as double) / 100 as detection_confidence,
+        {mix} % 7 in (2, 5) as ambiguous, {mix} % 23 = 0 as duplicate_candidates, case when {mix} % 23 = 0 then cast(2 as bigint) else cast(1 as bigint) end as candidate_count,
+        {mix} % 7 not in (2, 5) as training_eligible,
+        case when {mix} % 53 = 0 then {d.array(own, own)} when {mix} % 7 = 3 then {d.array(own, after)} else {d.array(own)} end as region_ids
+      from fx_fields where {mix} % 11 <> 0""")
+    defs["fx_align_tokens"] = (("fx_fields",), f"""
+      select document_id, doc_key, page_index, ord, {own} as region_id, gt_value as token from fx_fields where {mix} % 37 <> 0""")
     # source files and annotation files
     defs["fx_source"] = ((), f"""
       select doc_id as doc_key, 'Scan_' || source || '/' || lang || '/' || case when doc_id % 10 = 0 then 'page' || cast({d.div("doc_id", "20")} as string)
