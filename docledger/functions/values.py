@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,38 +45,41 @@ def compatible_date(text: Column) -> Column:
     return normalize_date(plain_punctuation(text))
 
 
-def parse_number(text: Column) -> Column:
-    """Printed Vietnamese or English number as a decimal, never guessed."""
-    kept = F.regexp_replace(text, r"[^0-9,.\-+]", "")
-    signed = kept.rlike(r"^[+-]")
-    body = F.when(signed, F.substring(kept, 2, 2147483647)).otherwise(kept)
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times; keeps nested parsers from multiplying their inputs."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _digits(kept: Column) -> Column:
+    """Number of a text reduced to digits, separators and signs."""
     sign = F.when(kept.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    # both separators: whichever comes last is the decimal mark
+    unsigned = F.regexp_replace(kept, r"^[+-]", "")
+    usable = unsigned.rlike(r"^[0-9.,]*[0-9][0-9.,]*$")
+    return F.when(usable, F.concat(sign, bind(unsigned, _plain_digits)).try_cast(NUMBER_TYPE))
+
+
+def _plain_digits(body: Column) -> Column:
+    """Digits with at most one decimal point, or null where the grouping is impossible."""
+    # one separator kind, every later group of three digits: grouping; a single short group: decimals
+    one_kind = ~(body.contains(".") & body.contains(","))
+    grouped = body.rlike(r"^[0-9]+([.,][0-9]{3})+$") | body.rlike(r"^[0-9]*([.,][0-9]{3}){2,}$")
+    repeated = body.rlike(r"[.,][0-9]*[.,]")
+    # both kinds: the later one is the decimal mark
     dot_last = body.rlike(r"\.[^.,]*$")
-    both = F.when(dot_last, F.replace(body, F.lit(","), F.lit(""))).otherwise(
-        F.translate(F.replace(body, F.lit("."), F.lit("")), ",", ".")
-    )
-    # one separator: grouping when every later group has three digits
-    groups = F.split(F.translate(body, ",", "."), r"\.", -1)
-    joined = F.array_join(groups, "")
-    triples = F.forall(F.slice(groups, 2, F.greatest(F.size(groups) - 1, F.lit(0))), lambda g: F.length(g) == 3)
-    single = (
-        F.when(F.size(groups) > 2, F.when(triples, joined))
-        .when((F.length(groups[1]) == 3) & (groups[0] != ""), joined)
-        .otherwise(F.translate(body, ",", "."))
-    )
-    plain = (
-        F.when(body.contains(".") & body.contains(","), both)
-        .when(body.rlike("[.,]"), single)
-        .otherwise(body)
+    mixed = F.when(dot_last, F.translate(body, ",", "")).otherwise(F.translate(F.translate(body, ".", ""), ",", "."))
+    return (
+        F.when(~one_kind, mixed).when(grouped, F.translate(body, ".,", ""))
+        .when(~repeated, F.translate(body, ",", "."))
     )
-    usable = ~body.rlike(r"[+-]") & body.rlike(r"[0-9]")
-    return F.when(usable, F.concat(sign, plain).try_cast(NUMBER_TYPE))
+
+
+def parse_number(text: Column) -> Column:
+    """Printed Vietnamese or English number as a decimal, never guessed."""
+    return bind(F.regexp_replace(text, r"[^0-9,.\-+]", ""), _digits)
 
 
 def parse_money(text: Column) -> Column:
-    amount = parse_number(text)
-    return F.when(amount >= 0, amount)
+    return bind(parse_number(text), lambda amount: F.when(amount >= 0, amount))
 
 
 def describe_product(text: Column) -> dict[str, Column]:

@@ -17,6 +17,7 @@ from docledger.functions.text import collapse, compose, fold_accents, NOT_IDENTI
 from docledger.functions.values import compatible_date, parse_number
 from docledger.labels import VALUE_PREFIXES
 from docledger.operators.geometry import PAGE, normalize_bbox
+from docledger.session import cut_lineage, spread
 
 FIELD = ("document_id", "field_path")
 SPAN = ("page_index", "start", "size")
@@ -47,10 +48,10 @@ def spans(regions: DataFrame, *, max_boxes: int = MAX_BOXES, band: float = 200.0
     place = F.col("_pos") - 1
     own = F.floor(place / block)
     shared = (place % block < max_boxes - 1) & (own > 0)
-    spread = placed.withColumn("_own", own).withColumn("_block", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))))
+    blocks = placed.withColumn("_own", own).withColumn("_block", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))))
     ahead = Window.partitionBy(*PAGE, "_block").orderBy("_pos").rowsBetween(0, max_boxes - 1)
     part = F.struct("region_id", "text", "x_min", "y_min", "x_max", "y_max")
-    runs = spread.withColumn("_run", F.collect_list(part).over(ahead)).where("_own = _block")
+    runs = spread(blocks, *PAGE, "_block").withColumn("_run", F.collect_list(part).over(ahead)).where("_own = _block")
     sized = runs.select(*PAGE, F.col("_pos").alias("start"), "_run", F.explode(F.sequence(F.lit(1), F.size("_run"))).alias("size"))
     run = F.slice("_run", 1, F.col("size"))
     cut = sized.select(*PAGE, "start", "size", run.alias("_run"))
@@ -118,31 +119,30 @@ def _field_keys(fields: DataFrame) -> DataFrame:
     ]))
 
 
-def _span_keys(all_spans: DataFrame) -> DataFrame:
-    text = F.col("text")
-    formed = all_spans.withColumn("_norm", normalize_text(text, composed=True)).withColumn("_fold", fold_accents(F.col("_norm")))
+def _span_keys(formed: DataFrame) -> DataFrame:
+    """(span, key) rows. Only spans that print a number, a date or a known prefix pay for parsing."""
     fold = F.col("_fold")
+    ident = [c for c in formed.columns if c not in ("_norm", "_fold")]
 
     def number_of(value: Column) -> Column:
         return F.when(value.rlike(NUMBER_TEXT), _number_key(F.trim(F.regexp_replace(value, NUMBER_SUFFIX, ""))))
 
+    def day_of(value: Column, printed: Column) -> Column:
+        return F.when(value.rlike(DATE_TEXT), compatible_date(printed))
+
+    plain = formed.select(*ident, F.explode(_keys([
+        F.when(F.col("_norm") != "", F.concat(F.lit("n:"), "_norm")).otherwise(F.concat(F.lit("w:"), collapse(F.col("text")))),
+        _key("i", F.regexp_replace("_norm", NOT_IDENTIFIER, ""))])).alias("_key"))
+    typed = formed.where(fold.rlike(NUMBER_TEXT) | fold.rlike(DATE_TEXT)).select(
+        *ident, F.explode(_keys([_key("m", number_of(fold)), _key("d", day_of(fold, F.col("text")))])).alias("_key"))
     prefixes = sorted({p for group in VALUE_PREFIXES.values() for p in group}, key=len, reverse=True)
-    anchors = []
-    for label in VALUE_PREFIXES:
-        rest = anchored(label, fold)
-        anchors += [
-            _key("a", F.concat(F.lit(f"{label}/"), rest)),
-            _key("m", F.concat(F.lit(f"{label}/"), number_of(rest))),
-            _key("d", F.concat(F.lit(f"{label}/"), F.when(rest.rlike(DATE_TEXT), compatible_date(rest)))),
-        ]
-    printed = fold.rlike(f"^(?:{'|'.join(prefixes)}) ")
-    return formed.withColumn("_keys", F.concat(
-        _keys([
-            F.when(F.col("_norm") != "", F.concat(F.lit("n:"), "_norm")).otherwise(F.concat(F.lit("w:"), collapse(text))),
-            _key("i", F.regexp_replace("_norm", NOT_IDENTIFIER, "")),
-            _key("m", number_of(fold)), _key("d", F.when(fold.rlike(DATE_TEXT), compatible_date(text))),
-        ]),
-        F.when(printed, _keys(anchors)).otherwise(F.array().cast("array<string>"))))
+    rests = F.array(*[F.struct(F.lit(label).alias("label"), anchored(label, fold).alias("rest")) for label in VALUE_PREFIXES])
+    told = formed.where(fold.rlike(f"^(?:{'|'.join(prefixes)}) ")).select(*ident, F.explode(rests).alias("_a")).where("_a.rest is not null")
+    rest, label = F.col("_a.rest"), F.col("_a.label")
+    anchors = told.select(*ident, F.explode(_keys([
+        _key("a", F.concat_ws("/", label, rest)), _key("m", F.concat(label, F.lit("/"), number_of(rest))),
+        _key("d", F.concat(label, F.lit("/"), day_of(rest, rest)))])).alias("_key"))
+    return plain.unionByName(typed).unionByName(anchors)
 
 
 SPAN_FACTS = ("region_ids", "center_x", "center_y", "mean_height", "span_width")
@@ -161,12 +161,15 @@ def match_cascade(fields: DataFrame, regions: DataFrame, *, max_boxes: int = MAX
     spans of exactly those lengths on the same page.
     """
     gated, _ = _gated(fields, regions)
-    keyed_fields = _field_keys(gated)
-    keyed_spans = _span_keys(spans(regions, max_boxes=max_boxes))
+    # values and spans are formed once; both feed the equality and the length join
+    keyed_fields = cut_lineage(_field_keys(gated))
+    formed = spans(regions, max_boxes=max_boxes).withColumn("_norm", normalize_text(F.col("text"), composed=True))
+    formed = cut_lineage(formed.withColumn("_fold", fold_accents(F.col("_norm"))))
+    keyed_spans = formed
     span_columns = ["document_id", *SPAN, "text", *SPAN_FACTS]
 
     f = keyed_fields.select("document_id", "page_index", "field_path", "normalization_kind", "_plain", F.explode("_keys").alias("_key"))
-    s = keyed_spans.select(*span_columns, F.explode("_keys").alias("_key"))
+    s = _span_keys(formed)
     hit = f.join(s, ["document_id", "page_index", "_key"])
     kind = F.substring("_key", 1, 1)
     rank = (

@@ -40,3 +40,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: survives executor loss, computes the input once."""
     shared_directory(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning that stays at the configured width.
+
+    For stages whose rows are few but expensive (a small row explodes into many spans), where
+    size-based coalescing would leave most cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
