@@ -54,9 +54,9 @@ _REST = ", ".join(
     for label in ("INVOICE_NUMBER", "SUBTOTAL", "GRAND_TOTAL"))
 _LABELS = ("invoice_number", "subtotal", "grand_total")
 _CANDIDATES = f"""{_SPANS},
-  s1 as (select *, {_form('text')} as norm from spans where text <> ''), s2 as (select *, replace(strip_accents(norm), 'đ', 'd') as fold from s1), s3 as (select *, {_REST}, {_NUMERIC.format(t='fold')} as num_text from s2),
+  s1 as (select *, {_form('text')} as norm, trim(regexp_replace(text, '\\s+', ' ', 'g')) as ws from spans where text <> ''), s2 as (select *, replace(strip_accents(norm), 'đ', 'd') as fold from s1), s3 as (select *, {_REST}, {_NUMERIC.format(t='fold')} as num_text from s2),
   s4 as (select *, regexp_replace(norm, '[^0-9a-zA-ZÀ-ỹ]+', '', 'g') as ident, {_ISO.format(t='fold')} as day, {", ".join(f"{_NUMERIC.format(t='rest_' + n)} as numtext_{n}" for n in _LABELS)} from s3),
-  f1 as (select *, {_form('gt_value')} as norm from fx_fields), f2 as (select *, replace(strip_accents(norm), 'đ', 'd') as fold, regexp_replace(norm, '[^0-9a-zA-ZÀ-ỹ]+', '', 'g') as ident,
+  f1 as (select *, {_form('gt_value')} as norm, trim(regexp_replace(gt_value, '\\s+', ' ', 'g')) as ws from fx_fields), f2 as (select *, replace(strip_accents(norm), 'đ', 'd') as fold, regexp_replace(norm, '[^0-9a-zA-ZÀ-ỹ]+', '', 'g') as ident,
       case when normalization_kind = 'date' then {_ISO.format(t='gt_value')} end as day from f1),
   src as (select distinct text from (select num_text as text from s4 union all select numtext_invoice_number from s4 union all select numtext_subtotal from s4 union all select numtext_grand_total from s4 union all select gt_value from fx_fields where normalization_kind in ('number', 'money'))
       where text is not null), {_PARSE},
@@ -64,7 +64,7 @@ _CANDIDATES = f"""{_SPANS},
   s5 as (select s4.*, a.number as num, {", ".join(f"b_{n}.number as num_{n}" for n in _LABELS)} from s4 left join nums a on a.text = num_text {" ".join(f"left join nums b_{n} on b_{n}.text = numtext_{n}" for n in _LABELS)}),
   f3 as (select f2.*, case when normalization_kind in ('number', 'money') then nums.number end as num from f2 left join nums on nums.text = f2.gt_value),
   met as (select f.document_id, f.field_path, f.normalization_kind as kind, s.page_index, s.start, s.size, s.cx, s.cy, f.norm as g, s.norm as o,
-      case when s.text = f.gt_value then 0 when trim(regexp_replace(s.text, '\\s+', ' ', 'g')) = trim(regexp_replace(f.gt_value, '\\s+', ' ', 'g')) then 1
+      case when s.text = f.gt_value then 0 when s.ws = f.ws then 1
         when f.fold = case f.label when 'INVOICE_NUMBER' then rest_invoice_number when 'SUBTOTAL' then rest_subtotal when 'GRAND_TOTAL' then rest_grand_total end then 2
         when s.norm <> '' and s.norm = f.norm then 3 when f.normalization_kind = 'identifier' and s.ident <> '' and s.ident = f.ident then 4
         when f.num = coalesce(s.num, case f.label when 'INVOICE_NUMBER' then num_invoice_number when 'SUBTOTAL' then num_subtotal when 'GRAND_TOTAL' then num_grand_total end) then 5
