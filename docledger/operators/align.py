@@ -33,9 +33,21 @@ NUMBER_SUFFIX = r"\s*(?:%|vnd|d|dong)\s*$"
 
 
 # ---------------------------------------------------------------- spans
-def spans(regions: DataFrame, *, max_boxes: int = MAX_BOXES, band: float = 200.0, block: int = 1024) -> DataFrame:
+# First words of the printed prefixes, and the letters a prefix, unit or date may add to a value.
+PREFIX_STARTS = tuple(dict.fromkeys(p.split(" ")[0] for group in VALUE_PREFIXES.values() for p in group))
+PREFIX_LETTERS = max(len(p) for group in VALUE_PREFIXES.values() for p in group)
+UNIT_OR_DATE_LETTERS = 16
+
+
+def spans(
+    regions: DataFrame, *, max_boxes: int = MAX_BOXES, band: float = 200.0, block: int = 1024, longest: DataFrame | None = None
+) -> DataFrame:
     """Every run of 1..max_boxes regions that follow each other on a page.
 
+    ``longest`` (page, ``_longest`` value length) leaves out runs that no value of the page can match:
+    a match keeps every character but separators and zeros, plus at most a prefix, a unit or the
+    words of a date, or the surplus that containment allows.
+
     Pages are numbered in two levels and cut into blocks; each block also receives the first
     ``max_boxes - 1`` regions of the next one, so a window of that fixed length never needs a page.
     """
@@ -45,16 +57,28 @@ def spans(regions: DataFrame, *, max_boxes: int = MAX_BOXES, band: float = 200.0
         *PAGE, "region_id", compose(strip(F.col("text"))).alias("text"), "x_min", "y_min", "x_max", "y_max",
         F.floor(F.col("y_min") / band).alias("_band"))
     placed = number_rows(slim, PAGE, "_band", [F.col("y_min"), F.col("x_min"), F.col("region_id")], "_pos")
+    weight = F.length(F.regexp_replace("text", r"(?U)[\s:;|,_.\-'\"…0]+", ""))
+    started = fold_accents(normalize_text(F.col("text"), composed=True))
+    placed = placed.withColumn("_weight", weight).withColumn(
+        "_starts", (started == "") | started.rlike(rf"^(?:{'|'.join(PREFIX_STARTS)})(?![a-z0-9])"))
+    if longest is not None:
+        placed = placed.join(longest, list(PAGE))
+    else:
+        placed = placed.withColumn("_longest", F.lit(None).cast("int"))
     place = F.col("_pos") - 1
     own = F.floor(place / block)
     shared = (place % block < max_boxes - 1) & (own > 0)
     blocks = placed.withColumn("_own", own).withColumn("_block", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))))
     ahead = Window.partitionBy(*PAGE, "_block").orderBy("_pos").rowsBetween(0, max_boxes - 1)
-    part = F.struct("region_id", "text", "x_min", "y_min", "x_max", "y_max")
+    part = F.struct("region_id", "text", "x_min", "y_min", "x_max", "y_max", "_weight", "_starts")
     runs = spread(blocks, *PAGE, "_block").withColumn("_run", F.collect_list(part).over(ahead)).where("_own = _block")
-    sized = runs.select(*PAGE, F.col("_pos").alias("start"), "_run", F.explode(F.sequence(F.lit(1), F.size("_run"))).alias("size"))
+    sized = runs.select(*PAGE, F.col("_pos").alias("start"), "_longest", "_run", F.explode(F.sequence(F.lit(1), F.size("_run"))).alias("size"))
     run = F.slice("_run", 1, F.col("size"))
-    cut = sized.select(*PAGE, "start", "size", run.alias("_run"))
+    cut = sized.select(*PAGE, "start", "size", "_longest", run.alias("_run"))
+    if longest is not None:
+        carried = F.aggregate(F.transform("_run", lambda r: r["_weight"]), F.lit(0), lambda a, b: a + b)
+        bare = F.greatest(F.col("_longest") / SUBSTRING_RATIO, F.col("_longest") + UNIT_OR_DATE_LETTERS)
+        cut = cut.where((carried <= bare) | (F.col("_run")[0]["_starts"] & (carried <= bare + PREFIX_LETTERS)))
     text = F.array_join(F.filter(F.transform("_run", lambda r: r["text"]), lambda t: t != ""), " ")
 
     def mean(value) -> Column:
@@ -163,7 +187,8 @@ def match_cascade(fields: DataFrame, regions: DataFrame, *, max_boxes: int = MAX
     gated, _ = _gated(fields, regions)
     # values and spans are formed once; both feed the equality and the length join
     keyed_fields = cut_lineage(_field_keys(gated))
-    formed = spans(regions, max_boxes=max_boxes).withColumn("_norm", normalize_text(F.col("text"), composed=True))
+    longest = keyed_fields.groupBy(*PAGE).agg(F.max(F.length("_norm")).alias("_longest"))
+    formed = spans(regions, max_boxes=max_boxes, longest=longest).withColumn("_norm", normalize_text(F.col("text"), composed=True))
     formed = cut_lineage(formed.withColumn("_fold", fold_accents(F.col("_norm"))))
     keyed_spans = formed
     span_columns = ["document_id", *SPAN, "text", *SPAN_FACTS]

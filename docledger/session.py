@@ -15,6 +15,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "docl
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # local runs are CPU-bound on small bytes: keep cores busy instead of coalescing to 1 MB
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
