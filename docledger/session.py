@@ -26,13 +26,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "docl
 
 
 def shared_directory(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode.
+
+    On a cluster each executor would write a temporary folder to its own disk, so there a missing
+    setting is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
-        return current
+        return configured or current
+    if configured:
+        spark.sparkContext.setCheckpointDir(configured)
+        return configured
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="docledger-")
     spark.sparkContext.setCheckpointDir(made)
     return made
