@@ -6,21 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docledger.llm.common import table
 from docledger.llm.decontaminate import find_contamination
+from docledger.llm.mixing import mix_sources
+from docledger.llm.quality_rules import COUNTS, apply_rules
+from docledger.llm.sharding import shard_documents
 from docledger.llm.simhash import near_duplicates
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op3_simhash_near_dedup": op3_simhash_near_dedup,
-    "op8_decontaminate": op8_decontaminate,
+    query.__name__: query
+    for query in (op1_quality_rules, op3_simhash_near_dedup, op4_mix_sources, op8_decontaminate, op10_rendezvous_shards)
 }
 
 ORACLES: dict[str, str] = {}
