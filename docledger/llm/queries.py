@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docledger.llm.common import table
 from docledger.llm.decontaminate import find_contamination
 from docledger.llm.mixing import mix_sources
+from docledger.llm.quality_model import fit_quality, held_out, score_quality
 from docledger.llm.quality_rules import COUNTS, apply_rules
 from docledger.llm.sharding import shard_documents
 from docledger.llm.simhash import near_duplicates
+from docledger.llm.urls import fit_urls, host_of, judge_urls, label_url
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,19 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = fit_urls(pages.select("url", label_url(host_of(F.col("url"))).alias("label")))
+    return judge_urls(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op7_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, forest)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -35,7 +51,10 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_quality_rules, op3_simhash_near_dedup, op4_mix_sources, op8_decontaminate, op10_rendezvous_shards)
+    for query in (
+        op1_quality_rules, op3_simhash_near_dedup, op4_mix_sources, op6_url_filter, op7_quality_score, op8_decontaminate,
+        op10_rendezvous_shards,
+    )
 }
 
 ORACLES: dict[str, str] = {}
