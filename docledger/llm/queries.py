@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docledger.llm.common import table
 from docledger.llm.decontaminate import find_contamination
+from docledger.llm.extract import extract_text
 from docledger.llm.mixing import mix_sources
 from docledger.llm.quality_model import fit_quality, held_out, score_quality
 from docledger.llm.quality_rules import COUNTS, apply_rules
@@ -27,6 +28,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     model = fit_urls(pages.select("url", label_url(host_of(F.col("url"))).alias("label")))
@@ -52,8 +57,8 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_quality_rules, op3_simhash_near_dedup, op4_mix_sources, op6_url_filter, op7_quality_score, op8_decontaminate,
-        op10_rendezvous_shards,
+        op1_quality_rules, op3_simhash_near_dedup, op4_mix_sources, op5_extract_text, op6_url_filter, op7_quality_score,
+        op8_decontaminate, op10_rendezvous_shards,
     )
 }
 
