@@ -9,6 +9,7 @@ from docledger.llm.common import table
 from docledger.llm.decontaminate import find_contamination
 from docledger.llm.extract import extract_text
 from docledger.llm.mixing import mix_sources
+from docledger.llm.pii import find_personal_data
 from docledger.llm.quality_model import fit_quality, held_out, score_quality
 from docledger.llm.quality_rules import COUNTS, apply_rules
 from docledger.llm.sharding import shard_documents
@@ -50,6 +51,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -58,7 +64,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_quality_rules, op3_simhash_near_dedup, op4_mix_sources, op5_extract_text, op6_url_filter, op7_quality_score,
-        op8_decontaminate, op10_rendezvous_shards,
+        op8_decontaminate, op9_personal_data, op10_rendezvous_shards,
     )
 }
 

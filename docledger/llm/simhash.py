@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docledger.llm.components import components
-from docledger.session import cut_lineage
+from docledger.session import cut_lineage, spread
 
 SHINGLE = 3
 SEED = 42
@@ -95,7 +95,7 @@ def fingerprint_links(prints: DataFrame, *, crowded: int = CROWDED) -> DataFrame
 
 def _rooted(printed: DataFrame) -> DataFrame:
     """(print, root): the smallest fingerprint each distinct one is connected with."""
-    prints = printed.select("print").distinct()
+    prints = spread(printed.select("print").distinct(), "print")
     roots = components(fingerprint_links(prints))
     return prints.join(roots, prints["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"))
 
