@@ -23,6 +23,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("bigint")
 
 
+def settled(value: Column) -> Column:
+    """``value``, computed in the projection that names it and nowhere else.
+
+    Catalyst moves conditions below a projection by writing its expressions out in them; inside a
+    lambda an array would then be built anew for each element. A look at the task's partition number,
+    which always passes, marks the projection as one that conditions stay above.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def keep_columns(df: DataFrame, taken: set[str]) -> list[str]:
     """Columns of ``df`` that do not clash with the names an operator is about to add."""
     return [name for name in df.columns if name not in taken]

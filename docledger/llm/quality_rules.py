@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import SPACE, keep_columns, words
+from docledger.llm.common import SPACE, keep_columns, settled, words
 
 WINDOW = 5
 
@@ -81,7 +81,7 @@ def _repeated(df: DataFrame, window: int) -> DataFrame:
     )
     return (
         df.withColumn("_runs", F.when(suspect, ordered))
-        .withColumn("n_repeat_words", F.when(F.col("_runs").isNotNull(), covered).otherwise(0).cast("bigint"))
+        .withColumn("n_repeat_words", settled(F.when(F.col("_runs").isNotNull(), covered).otherwise(0).cast("bigint")))
         .drop("_runs")
     )
 
@@ -119,4 +119,4 @@ def apply_rules(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...]
         ratio("_stops", F.col("n_words")).alias("stop_ratio"),
     )
     failed = measured.withColumn("failed_rules", compile_rules(rules))
-    return failed.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return failed.withColumn("kept", settled(~F.col("base_failed") & (F.size("failed_rules") == 0)))
