@@ -15,12 +15,19 @@ from docledger.llm.quality_rules import COUNTS, apply_rules
 from docledger.llm.sharding import shard_documents
 from docledger.llm.simhash import near_duplicates
 from docledger.llm.urls import fit_urls, host_of, judge_urls, label_url
+from docledger.llm.warc import archive, audit, damaged_copy, file_count
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    files = file_count(pages)
+    return audit(archive(pages, files), archive(damaged_copy(pages), files))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,8 +70,8 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_quality_rules, op3_simhash_near_dedup, op4_mix_sources, op5_extract_text, op6_url_filter, op7_quality_score,
-        op8_decontaminate, op9_personal_data, op10_rendezvous_shards,
+        op1_quality_rules, op2_merkle_fixity, op3_simhash_near_dedup, op4_mix_sources, op5_extract_text, op6_url_filter,
+        op7_quality_score, op8_decontaminate, op9_personal_data, op10_rendezvous_shards,
     )
 }
 
