@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docledger.llm import oracles
 from docledger.llm.common import table
 from docledger.llm.decontaminate import find_contamination
 from docledger.llm.extract import extract_text
@@ -75,4 +76,10 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_quality_rules": oracles.QUALITY_RULES,
+    "op2_merkle_fixity": oracles.MERKLE_FIXITY,
+    "op4_mix_sources": oracles.MIX_SOURCES,
+    "op8_decontaminate": oracles.DECONTAMINATE,
+    "op10_rendezvous_shards": oracles.SHARDS,
+}
