@@ -126,9 +126,10 @@ def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "
     names = docs.columns
     marked = docs.withColumn("_print", simhash(text))
     printed = cut_lineage(marked.select(F.col(doc_id).alias("doc_id"), F.col("_print").alias("print")).distinct())
+    least = printed.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id")).alias("least"))
     chosen = (
-        printed.join(_rooted(printed), "print").groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "print")).alias("first"))
+        _rooted(printed).join(least, "print").groupBy("root")
+        .agg(F.min(F.struct("least.late", "least.doc_id", "print")).alias("first"))
         .select(F.col("first.doc_id").alias("_id"), F.col("first.print").alias("_chosen"))
     )
     kept = marked.join(chosen, marked[doc_id].eqNullSafe(chosen["_id"]) & (marked["_print"] == chosen["_chosen"]), "left_semi")
