@@ -7,6 +7,7 @@ on columns that may hold non-ASCII text.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
@@ -27,11 +28,12 @@ EDGE = " .-'\""
 
 
 def _accent_table() -> tuple[str, str]:
-    """Precomposed Latin letters -> base letter, derived from canonical decomposition."""
+    """Precomposed letters -> base letter, derived from the decompositions of all code points."""
     plain = {"đ": "d"}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in range(0xC0, sys.maxunicode + 1):
         letter = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+        parts = unicodedata.normalize("NFKD" if code < 0x2000 else "NFD", letter)
+        base = "".join(c for c in parts if not unicodedata.combining(c))
         if base != letter and len(base) == 1:
             plain[letter] = base
     return "".join(plain), "".join(plain.values())
@@ -60,9 +62,26 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case letters whose full case fold differs: those that stay one letter, and those that grow."""
+    one: dict[str, str] = {}
+    more: dict[str, str] = {}
+    for letter in map(chr, range(0x80, sys.maxunicode + 1)):
+        fold = letter.casefold()
+        if fold != letter and letter.lower() == letter:
+            (one if len(fold) == 1 else more)[letter] = fold
+    return one, more
+
+
+_ONE, _MORE = _folds()
+
+
 def casefold(text: Column) -> Column:
-    """Lower case with the folds that lower case alone leaves out (sharp s, final sigma, long s, micro)."""
-    return F.replace(F.translate(F.lower(text), "ςſµ", "σsμ"), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, then the folds that lower case alone leaves out (sharp s, final sigma, ...)."""
+    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    grown = F.create_map(*(F.lit(c) for pair in _MORE.items() for c in pair))
+    spelled = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(grown, c), c)), "")
+    return F.when(low.rlike(f"[{''.join(_MORE)}]"), spelled).otherwise(low)
 
 
 def plain_punctuation(text: Column) -> Column:

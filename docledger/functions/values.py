@@ -51,11 +51,11 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _digits(kept: Column) -> Column:
-    """Number of a text reduced to digits, separators and signs."""
+    """Plain decimal text of a text reduced to digits, separators and signs; null if it is no number."""
     sign = F.when(kept.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     unsigned = F.regexp_replace(kept, r"^[+-]", "")
     usable = unsigned.rlike(r"^[0-9.,]*[0-9][0-9.,]*$")
-    return F.when(usable, F.concat(sign, bind(unsigned, _plain_digits)).try_cast(NUMBER_TYPE))
+    return F.when(usable, F.concat(sign, bind(unsigned, _plain_digits)))
 
 
 def _plain_digits(body: Column) -> Column:
@@ -74,8 +74,24 @@ def _plain_digits(body: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """Printed Vietnamese or English number as a decimal, never guessed."""
-    return bind(F.regexp_replace(text, r"[^0-9,.\-+]", ""), _digits)
+    """Printed Vietnamese or English number as a decimal, never guessed; null beyond the decimal's range.
+
+    For comparing numbers of any length use :func:`number_text`.
+    """
+    return bind(F.regexp_replace(text, r"[^0-9,.\-+]", ""), _digits).try_cast(NUMBER_TYPE)
+
+
+def number_text(text: Column) -> Column:
+    """Canonical text of a printed number of any length: equal numbers have equal texts.
+
+    No leading zeros, no trailing zeros of a fraction, no sign on zero.
+    """
+    def canonical(plain: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(plain, r"^(-?)0+(?=[0-9])", "$1"), r"^(-?)(?=\.)", "$10")
+        short = F.regexp_replace(F.regexp_replace(bare, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        return F.when(plain.rlike(r"^-?[0-9]*\.?[0-9]*$"), F.when(short == "-0", "0").otherwise(short))
+
+    return bind(bind(F.regexp_replace(text, r"[^0-9,.\-+]", ""), _digits), canonical)
 
 
 def parse_money(text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from docledger.functions.ordinals import number_rows
 from docledger.functions.text import collapse, compose, fold_accents, NOT_IDENTIFIER, normalize_text, strip
-from docledger.functions.values import compatible_date, parse_number
+from docledger.functions.values import compatible_date, number_text
 from docledger.labels import VALUE_PREFIXES
 from docledger.operators.geometry import PAGE, normalize_bbox
 from docledger.session import cut_lineage, spread
@@ -27,6 +27,7 @@ CASCADE = (
     ("exact", 1.0), ("whitespace_normalized", 0.995), ("anchored_exact_normalized", 0.985), ("exact_normalized", 0.99),
     ("identifier_normalized", 0.98), ("number_normalized", 0.98), ("date_normalized", 0.98),
 )
+# What a printed date, number or unit looks like once accents are folded.
 DATE_TEXT = r"^(?:\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|ngay\s+\d{1,2}\s+thang\s+\d{1,2}\s+nam\s+\d{4})$"
 NUMBER_TEXT = r"^[+-]?\s*\d+(?:[.\s]\d+)*\s*(?:%|vnd|d|dong)?$"
 NUMBER_SUFFIX = r"\s*(?:%|vnd|d|dong)\s*$"
@@ -36,7 +37,7 @@ NUMBER_SUFFIX = r"\s*(?:%|vnd|d|dong)\s*$"
 # First words of the printed prefixes, and the letters a prefix, unit or date may add to a value.
 PREFIX_STARTS = tuple(dict.fromkeys(p.split(" ")[0] for group in VALUE_PREFIXES.values() for p in group))
 PREFIX_LETTERS = max(len(p) for group in VALUE_PREFIXES.values() for p in group)
-UNIT_OR_DATE_LETTERS = 16
+UNIT_OR_DATE_LETTERS = max(len("ngaythangnam"), len("dong"))
 
 
 def spans(
@@ -45,8 +46,9 @@ def spans(
     """Every run of 1..max_boxes regions that follow each other on a page.
 
     ``longest`` (page, ``_longest`` value length) leaves out runs that no value of the page can match:
-    a match keeps every character but separators and zeros, plus at most a prefix, a unit or the
-    words of a date, or the surplus that containment allows.
+    a run weighs its letters and digits, accents folded and zeros left out, which is the least that
+    any rule compares; a match adds at most a prefix, a unit or the words of a date to the value's
+    own, or the surplus that containment allows.
 
     Pages are numbered in two levels and cut into blocks; each block also receives the first
     ``max_boxes - 1`` regions of the next one, so a window of that fixed length never needs a page.
@@ -54,11 +56,11 @@ def spans(
     if max_boxes <= 0:
         raise ValueError("max_boxes must be positive")
     slim = regions.select(
-        *PAGE, "region_id", compose(strip(F.col("text"))).alias("text"), "x_min", "y_min", "x_max", "y_max",
+        *PAGE, "region_id", strip(F.col("text")).alias("raw"), compose(strip(F.col("text"))).alias("text"), "x_min", "y_min", "x_max", "y_max",
         F.floor(F.col("y_min") / band).alias("_band"))
     placed = number_rows(slim, PAGE, "_band", [F.col("y_min"), F.col("x_min"), F.col("region_id")], "_pos")
-    weight = F.length(F.regexp_replace("text", r"(?U)[\s:;|,_.\-'\"…0]+", ""))
     started = fold_accents(normalize_text(F.col("text"), composed=True))
+    weight = F.length(F.regexp_replace(F.regexp_replace(started, NOT_IDENTIFIER, ""), "0+", ""))
     placed = placed.withColumn("_weight", weight).withColumn(
         "_starts", (started == "") | started.rlike(rf"^(?:{'|'.join(PREFIX_STARTS)})(?![a-z0-9])"))
     if longest is not None:
@@ -70,7 +72,7 @@ def spans(
     shared = (place % block < max_boxes - 1) & (own > 0)
     blocks = placed.withColumn("_own", own).withColumn("_block", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))))
     ahead = Window.partitionBy(*PAGE, "_block").orderBy("_pos").rowsBetween(0, max_boxes - 1)
-    part = F.struct("region_id", "text", "x_min", "y_min", "x_max", "y_max", "_weight", "_starts")
+    part = F.struct("region_id", "raw", "text", "x_min", "y_min", "x_max", "y_max", "_weight", "_starts")
     runs = spread(blocks, *PAGE, "_block").withColumn("_run", F.collect_list(part).over(ahead)).where("_own = _block")
     sized = runs.select(*PAGE, F.col("_pos").alias("start"), "_longest", "_run", F.explode(F.sequence(F.lit(1), F.size("_run"))).alias("size"))
     run = F.slice("_run", 1, F.col("size"))
@@ -79,13 +81,15 @@ def spans(
         carried = F.aggregate(F.transform("_run", lambda r: r["_weight"]), F.lit(0), lambda a, b: a + b)
         bare = F.greatest(F.col("_longest") / SUBSTRING_RATIO, F.col("_longest") + UNIT_OR_DATE_LETTERS)
         cut = cut.where((carried <= bare) | (F.col("_run")[0]["_starts"] & (carried <= bare + PREFIX_LETTERS)))
-    text = F.array_join(F.filter(F.transform("_run", lambda r: r["text"]), lambda t: t != ""), " ")
+
+    def joined(name: str) -> Column:
+        return F.array_join(F.filter(F.transform("_run", lambda r: r[name]), lambda t: t != ""), " ")
 
     def mean(value) -> Column:
         return F.aggregate(F.transform("_run", value), F.lit(0.0), lambda a, b: a + b) / F.col("size")
 
     return cut.select(
-        *PAGE, "start", "size", F.transform("_run", lambda r: r["region_id"]).alias("region_ids"), text.alias("text"),
+        *PAGE, "start", "size", F.transform("_run", lambda r: r["region_id"]).alias("region_ids"), joined("text").alias("text"), joined("raw").alias("raw"),
         mean(lambda r: (r["x_min"] + r["x_max"]) / 2).alias("center_x"), mean(lambda r: (r["y_min"] + r["y_max"]) / 2).alias("center_y"),
         mean(lambda r: r["y_max"] - r["y_min"]).alias("mean_height"),
         (F.element_at("_run", -1)["x_max"] - F.element_at("_run", 1)["x_min"]).alias("span_width"),
@@ -103,7 +107,7 @@ def gate_pages(fields: DataFrame, regions: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- match cascade
 def _number_key(text: Column) -> Column:
-    return parse_number(text).cast("string")
+    return number_text(text)
 
 
 def anchored(label: str, folded: Column) -> Column:
@@ -193,12 +197,12 @@ def match_cascade(fields: DataFrame, regions: DataFrame, *, max_boxes: int = MAX
     keyed_spans = formed
     span_columns = ["document_id", *SPAN, "text", *SPAN_FACTS]
 
-    f = keyed_fields.select("document_id", "page_index", "field_path", "normalization_kind", "_plain", F.explode("_keys").alias("_key"))
+    f = keyed_fields.select("document_id", "page_index", "field_path", "normalization_kind", strip(F.col("gt_value")).alias("_told"), F.explode("_keys").alias("_key"))
     s = _span_keys(formed)
     hit = f.join(s, ["document_id", "page_index", "_key"])
     kind = F.substring("_key", 1, 1)
     rank = (
-        F.when(F.col("text") == F.col("_plain"), 0).when(collapse(F.col("text")) == collapse(F.col("_plain")), 1)
+        F.when(F.col("raw") == F.col("_told"), 0).when(collapse(F.col("raw")) == collapse(F.col("_told")), 1)
         .when(kind == "a", 2).when(kind == "n", 3).when(kind == "i", 4).when(kind == "m", 5).when(kind == "d", 6))
     names = F.array(*[F.lit(n) for n, _ in CASCADE])
     scores = F.array(*[F.lit(c) for _, c in CASCADE])

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.labels import bio_ids
@@ -20,10 +20,14 @@ def label_id(label: Column) -> Column:
 
 
 def token_dataset(pages: DataFrame) -> DataFrame:
-    """Pages with label ids per token: masked and ``IGNORE``-marked tokens become -100."""
+    """Pages with label ids per token: masked and ``IGNORE``-marked tokens become -100.
+
+    A page with an unknown label has null ``label_ids``, so that it can be set aside.
+    """
     mask = F.coalesce(F.col("ignore_mask"), F.transform("tokens", lambda t: F.lit(False)))
-    ids = F.zip_with("labels", mask, lambda label, ignored: F.when(ignored, F.lit(IGNORED)).otherwise(label_id(label)))
-    return pages.withColumn("label_ids", ids)
+    ids = F.zip_with("labels", mask, lambda label, ignored: F.when(ignored | (label == "IGNORE"), F.lit(IGNORED)).otherwise(label_id(label)))
+    return pages.withColumn("_ids", ids).withColumn(
+        "label_ids", F.when(F.forall("_ids", lambda i: i.isNotNull()), F.col("_ids"))).drop("_ids")
 
 
 def align_subtokens(word_ids: Column, word_labels: Column, *, label_all: bool = False) -> Column:
@@ -41,9 +45,12 @@ def best_checkpoint(candidates: DataFrame, *, greater_is_better: bool = True) ->
     """(best validation candidate per run, refused candidates); ties go to the earliest epoch."""
     valid = candidates.where("evaluated_split = 'validation'")
     refused = candidates.where("evaluated_split <> 'validation'")
-    metric = F.desc("metric_value") if greater_is_better else F.asc("metric_value")
-    first = Window.partitionBy("run_id").orderBy(metric, F.asc("epoch"))
-    return valid.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"), refused
+    row = F.struct(*valid.columns)
+    if greater_is_better:
+        best = F.max_by(row, F.struct("metric_value", -F.col("epoch")))
+    else:
+        best = F.min_by(row, F.struct("metric_value", "epoch"))
+    return valid.groupBy("run_id").agg(best.alias("_best")).select("_best.*"), refused
 
 
 def linear_probe(features: DataFrame, *, grid: tuple[float, ...] = (0.0, 0.01), max_iter: int = 30):
