@@ -80,7 +80,7 @@ def conclusion(compared: DataFrame) -> DataFrame:
     totals = compared.agg(
         F.count("before").alias("_b"), F.count("after").alias("_a"), F.count_if(F.col("classification") == "improved").alias("improved"),
         F.count_if(F.col("classification") == "regressed").alias("regressed"))
-    said = (
+    said = (  # fixed values: the sentences are part of the output
         F.when((F.col("_b") == 0) | (F.col("_a") == 0), "insufficient valid test ground truth; no fine-tuning quality conclusion")
         .when((F.col("improved") > 0) & (F.col("regressed") == 0), "fine-tuning improved the measured quality metrics")
         .when(F.col("improved") > 0, "fine-tuning produced mixed quality changes")

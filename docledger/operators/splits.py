@@ -14,7 +14,7 @@ FULL_RANGE = 18446744073709551615  # 2^64 - 1
 def hash_split(document_id: Column, seed: int, train: float = 0.8, validation: float = 0.1) -> Column:
     """Split name from the first 64 bits of a seeded digest; needs no sort and no count."""
     if train <= 0 or validation < 0 or train + validation >= 1:
-        raise ValueError("split ratios must reserve positive train and test partitions")
+        raise ValueError("train needs a share above 0, and train and validation together one below 1")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), document_id), 256)
     value = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
 

@@ -8,6 +8,7 @@ from docledger.operators import align as L
 from docledger.operators import clean as K
 from docledger.operators import reports as P
 from docledger.workload.fixtures import fixture, oracle
+from docledger.workload.q_index import _DOCS, _checked
 from docledger.workload.q_normalize import _N4, _PARSE
 from docledger.workload.registry import query
 
@@ -130,14 +131,14 @@ def al11(spark, sf):
 
 @query("al12_alignment_rows", oracle("""with u as (select document_id, field_path, unnest(region_ids) as region_id, unnest(range(len(region_ids))) as i from (select document_id, field_path, [region_id] as region_ids from m1)),
    m1 as (select f.document_id, f.field_path, r.region_id from fx_fields f join fx_regions r on r.document_id = f.document_id and r.ord = f.ord)
-   select m1.document_id, m1.field_path, trim(r.text) as ocr_text, r.detection_confidence, r.recognition_confidence, f.gt_value, r.page_index + 1 as page from m1 join fx_regions r on r.region_id = m1.region_id join fx_fields f on f.document_id = m1.document_id and f.field_path = m1.field_path where trim(r.text) <> ''""".replace(
+   select m1.document_id, m1.field_path, nullif(trim(r.text), '') as ocr_text, r.detection_confidence, r.recognition_confidence, f.gt_value, r.page_index + 1 as page from m1 join fx_regions r on r.region_id = m1.region_id join fx_fields f on f.document_id = m1.document_id and f.field_path = m1.field_path""".replace(
     "with u as (select document_id, field_path, unnest(region_ids) as region_id, unnest(range(len(region_ids))) as i from (select document_id, field_path, [region_id] as region_ids from m1)),\n   m1", "with m1"), "fx_fields", "fx_regions"))
 def al12(spark, sf):
     fields, regions = _fields(spark, sf), _regions(spark, sf)
     matches = fields.select("document_id", "field_path", "label", "ord").join(
         regions.select("document_id", "ord", "region_id", "page_index"), ["document_id", "ord"]).select(
         "document_id", "field_path", "label", "page_index", F.array("region_id").alias("region_ids"), F.lit(False).alias("ambiguous"))
-    rows = L.alignment_rows(matches, fields, regions).where("ocr_text is not null")
+    rows = L.alignment_rows(matches, fields, regions)
     return rows.select("document_id", "field_path", "ocr_text", "detection_confidence", "recognition_confidence", "gt_value", "page")
 
 
@@ -189,15 +190,15 @@ _CLEAN = """cls as (select *, case when len(region_ids) = 0 then 'IGNORE' when l
      case when len(list_distinct(region_ids)) < len(region_ids) then 'alignment_repeats_region' when ambiguous then 'ambiguous_match' when not training_eligible then 'source_not_training_eligible' when duplicate_candidates or candidate_count > 1 then 'duplicate_candidates'
        when len(region_ids) > 1 then 'multi_box_match' when regexp_replace(match_method, '^multi_box_', '') not in ('exact', 'whitespace_normalized', 'exact_normalized', 'money_normalized') then 'method_requires_review:' || match_method
        when match_confidence < 0.98 then 'low_match_confidence' when recognition_confidence < 0.8 then 'low_recognition_confidence' when detection_confidence < 0.8 then 'low_detection_confidence' else 'safe_exact_or_typed_normalized_match' end as r0 from fx_align),
-  uses as (select document_id, field_path, label, d0, unnest(region_ids) as region_id, unnest(range(len(region_ids))) as i from cls), mis as (select distinct document_id, field_path from uses where (document_id, region_id) not in (select (document_id, region_id) from fx_align_tokens)),
-  ku as (select * from uses where (document_id, field_path) not in (select (document_id, field_path) from mis)), con as (select document_id, region_id from ku group by 1, 2 having count(distinct field_path) > 1),
-  sh as (select distinct document_id, field_path from ku where (document_id, region_id) in (select (document_id, region_id) from con)),
+  uses as (select document_id, field_path, label, d0, unnest(region_ids) as region_id, unnest(range(len(region_ids))) as i from cls), mis as (select distinct u.document_id, u.field_path from uses u anti join fx_align_tokens t on t.document_id = u.document_id and t.region_id = u.region_id),
+  ku as (select u.* from uses u anti join mis m on m.document_id = u.document_id and m.field_path = u.field_path), con as (select document_id, region_id from ku group by 1, 2 having count(distinct field_path) > 1),
+  sh as (select distinct k.document_id, k.field_path from ku k semi join con c on c.document_id = k.document_id and c.region_id = k.region_id),
   dec as (select c.*, case when m.field_path is not null or s.field_path is not null then 'IGNORE' else d0 end as decision, case when m.field_path is not null then 'alignment_region_missing_from_tokens' when s.field_path is not null then 'region_shared_by_multiple_fields' else r0 end as reason
     from cls c left join mis m using (document_id, field_path) left join sh s using (document_id, field_path)),
   du as (select document_id, label, decision, unnest(region_ids) as region_id, unnest(range(len(region_ids))) as i from dec),
   reg as (select document_id, region_id, max(case when decision = 'KEEP' then case when i = 0 then 'B-' else 'I-' end || label end) as l, bool_or(decision <> 'KEEP') as m from du group by 1, 2),
   tok as (select t.*, coalesce(l, 'O') as clean_label, cast(coalesce(m, false) as int) as ignore_mask from fx_align_tokens t left join reg using (document_id, region_id)),
-  every as (select document_id, field_path, label, decision, reason from dec union all select document_id, field_path, label, 'IGNORE', 'unmatched_no_region' from fx_fields where (document_id, field_path) not in (select (document_id, field_path) from fx_align))"""
+  every as (select document_id, field_path, label, decision, reason from dec union all select document_id, field_path, label, 'IGNORE', 'unmatched_no_region' from fx_fields f anti join fx_align a on a.document_id = f.document_id and a.field_path = f.field_path)"""
 
 
 def _tokens(spark, sf):
@@ -243,3 +244,14 @@ def cl6(spark, sf):
 @query("cl6_token_counts", oracle(f"with {_CLEAN} select count(*) as tokens, count(*) filter (ignore_mask = 1) as ignored_tokens, count(*) filter (ignore_mask = 0) as supervised_tokens from tok", "fx_align", "fx_align_tokens"))
 def cl6t(spark, sf):
     return K.token_counts(K.clean_labels(_tokens(spark, sf), _resolved(spark, sf)))
+
+
+@query("rp6_inspect_labels", oracle(f"""with {_DOCS}, {_CLEAN}, a as (select count(*) as annotations, count(*) filter (failed <> '') as invalid_annotations from v),
+   f as (select 'cleaned' as basis, count(*) as total_fields, count(*) filter (decision = 'KEEP') as usable_fields from every union all
+     select 'alignment', count(*), count(*) filter (training_eligible) from fx_fields left join fx_align using (document_id, field_path))
+   select annotations, invalid_annotations, total_fields, usable_fields, cast(annotations > 0 and invalid_annotations = 0 as int) as valid, basis, usable_fields / total_fields * 100 as usable_percent from a, f""",
+    "fx_tok", "fx_align", "fx_align_tokens", "fx_fields"))
+def rp6(spark, sf):
+    checked = _checked(spark, sf)
+    cleaned = P.inspect_labels(checked, K.with_unmatched(_resolved(spark, sf), _fields(spark, sf)))
+    return cleaned.unionByName(P.inspect_labels(checked, _report(spark, sf))).withColumn("valid", F.col("valid").cast("int"))

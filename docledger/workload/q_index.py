@@ -92,6 +92,18 @@ def ix5(spark, sf):
     return index.changed_since_index(_index(spark, sf), files)
 
 
+@query("ix6_restrict_to_targets", oracle(f"""
+  with {_INDEX}, target as (select document_id from ix where gt_path is not null union select 'gone:' || document_id from ix where matched_by = 'basename')
+  select 'kept' as kind, document_id from docs semi join target using (document_id)
+  union all select 'absent', document_id from target anti join docs using (document_id)""", "fx_source", "fx_files"))
+def ix6(spark, sf):
+    ix = _index(spark, sf)
+    targets = ix.where("gt_path is not null").select("document_id").union(
+        ix.where("matched_by = 'basename'").select(F.concat(F.lit("gone:"), "document_id"))).distinct()
+    kept, absent = index.restrict_to_targets(_documents(spark, sf), targets)
+    return kept.select(F.lit("kept").alias("kind"), "document_id").union(absent.select(F.lit("absent"), "document_id"))
+
+
 @query("sp1_hash_split", """
   with h as (select doc_id, cast('0x' || substring(sha256('42:' || cast(doc_id as string)), 1, 16) as ubigint) as v from documents)
   select doc_id, case when v < 14757395258967641292 then 'train' when v < 16602069666338596453 then 'validation' else 'test' end as split from h""")

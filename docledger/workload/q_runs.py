@@ -126,10 +126,11 @@ def ru3t(spark, sf):
     return U.merge_stage_timing(per_stage, ["wall"], ["processed"])
 
 
-@query("ru3_primary_metric", oracle("""select run_id, case when max(case when stage = 'signup' and run_id <> 'run3' then 1 else 0 end) = 1 then 'signup' else arg_max(stage, stage_order * 1000000000 + event_id) filter (event_id % 3 = 0) end as primary_metric from fx_times where not (run_id = 'run3' and stage = 'signup') group by 1""", "fx_times"))
+@query("ru3_primary_metric", oracle("""select run_id, case when max(case when stage = 'signup' and run_id <> 'run3' then 1 else 0 end) = 1 then 'signup' else arg_max(stage, stage_order * 1000000000 + event_id) filter (event_id % 3 = 0) end as primary_metric from (select * replace (case when run_id = 'run3' and stage = 'signup' then 'signup_late' else stage end as stage) from fx_times) group by 1""", "fx_times"))
 def ru3p(spark, sf):
-    times = fixture(spark, sf, "fx_times").where("not (run_id = 'run3' and stage = 'signup')").select(
-        "run_id", F.col("stage").alias("metric"), (F.col("event_id") % 3 == 0).alias("is_primary"), (F.col("stage_order") * 1000000000 + F.col("event_id")).alias("stage_order"))
+    metric = F.when((F.col("run_id") == "run3") & (F.col("stage") == "signup"), "signup_late").otherwise(F.col("stage"))
+    times = fixture(spark, sf, "fx_times").select(
+        "run_id", metric.alias("metric"), (F.col("event_id") % 3 == 0).alias("is_primary"), (F.col("stage_order") * 1000000000 + F.col("event_id")).alias("stage_order"))
     return U.primary_metric(times, "signup")
 
 
@@ -167,9 +168,10 @@ def ru6(spark, sf):
 
 
 @query("ru7_run_summary", oracle("""select run_id, count(*) as total_documents, count(*) filter (status = 'success') as completed, count(*) filter (status = 'failed') as failed, round(sum(millis) / count(*) filter (status = 'success'), 6) as seconds_per_document,
-   case when count(*) filter (status = 'success') >= 1 and count(*) filter (status = 'failed') = 0 then 'success' else 'failed' end as status from fx_times where run_id <> 'run4' or status <> 'failed' group by 1""", "fx_times"))
+   case when count(*) filter (status = 'success') >= 1 and count(*) filter (status = 'failed') = 0 then 'success' else 'failed' end as status from (select * replace (case when run_id = 'run4' and status = 'failed' then 'success' else status end as status) from fx_times) group by 1""", "fx_times"))
 def ru7(spark, sf):
-    times = fixture(spark, sf, "fx_times").where("run_id <> 'run4' or status <> 'failed'").withColumn("seconds", F.col("millis"))
+    mended = F.when((F.col("run_id") == "run4") & (F.col("status") == "failed"), "success").otherwise(F.col("status"))
+    times = fixture(spark, sf, "fx_times").withColumn("status", mended).withColumn("seconds", F.col("millis"))
     return U.run_summary(times).withColumn("seconds_per_document", F.round("seconds_per_document", 6))
 
 

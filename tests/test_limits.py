@@ -4,37 +4,16 @@ from pyspark.sql import functions as F
 
 from docledger.functions.text import casefold, fold_text
 from docledger.functions.values import number_text, parse_number
-from docledger.operators import align as L
 from docledger.operators.flatten import flatten_json, gt_fields
 from docledger.operators.training import best_checkpoint, token_dataset
 from docledger.operators.transcription import pair_transcriptions
 from docledger.plans.totals import totals_check
 
-FIELD = "document_id string, field_path string, label string, gt_value string, normalization_kind string, page_index bigint, invoice_index bigint, item_index bigint, line_number bigint"
-REGION = "document_id string, region_id string, text string, x_min double, y_min double, x_max double, y_max double, page_index bigint, detection_confidence double, recognition_confidence double"
-
 
 def one(spark, expression):
     return spark.range(1).select(expression.alias("x")).first().x
 
 
-def methods(spark, value, kind, *texts):
-    fields = spark.createDataFrame([("d", "f", "INVOICE_NUMBER", value, kind, 0, 0, None, None)], FIELD)
-    regions = spark.createDataFrame(
-        [("d", f"r{k}", text, 10.0, 20.0 * k, 90.0, 20.0 * k + 10, 0, 0.9, 0.9) for k, text in enumerate(texts)], REGION)
-    return {(row.start, row.size): row.method for row in L.match_cascade(fields, regions, max_boxes=2).collect()} if texts else {}
-
-
-def test_symbol_runs_stay_candidates(spark):
-    found = methods(spark, "AB123", "identifier", "AB123" + "#" * 40)
-    assert found == {(1, 1): "identifier_normalized"}
-
-
-def test_exact_means_the_printed_text(spark):
-    assert methods(spark, "ABC Co", "text", "ＡＢＣ Co") == {(1, 1): "exact_normalized"}
-    assert methods(spark, "ABC Co", "text", " ABC Co ") == {(1, 1): "exact"}
-
-
 def test_numbers_of_any_length(spark):
     long = "9" * 30
     assert one(spark, number_text(F.lit(long))) == long
