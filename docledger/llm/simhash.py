@@ -95,7 +95,8 @@ def fingerprint_links(prints: DataFrame, *, crowded: int = CROWDED) -> DataFrame
 
 def _rooted(printed: DataFrame) -> DataFrame:
     """(print, root): the smallest fingerprint each distinct one is connected with."""
-    prints = spread(printed.select("print").distinct(), "print")
+    # by a hash of the print: dealt by the print itself the exchange would be taken for the distinct's own and coalesced
+    prints = spread(printed.select("print").distinct(), F.xxhash64("print"))
     roots = components(fingerprint_links(prints))
     return prints.join(roots, prints["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"))
 
