@@ -243,7 +243,7 @@ def _similar(near: DataFrame) -> DataFrame:
     """Similarity of the pairs that can reach the threshold.
 
     With ratio r, 2M >= r(a + b) characters match in order, so at most (1 - r)(a + b) edits separate
-    the texts. The native, threshold-stopped edit distance applies that bound before Python sees a pair.
+    the texts. The native edit distance applies that bound before Python sees a pair.
     """
     a, b = F.length("_g"), F.length("_o")
     possible = (F.least(a, b) >= MIN_FUZZY) & (2 * F.least(a, b) >= FUZZY_RATIO * (a + b))
