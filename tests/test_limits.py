@@ -39,6 +39,12 @@ def test_deep_records_are_followed(spark):
     assert ("a", "number", "1") in rows and not any(kind == "deeper" for _, kind, _ in rows)
 
 
+def test_a_float_is_not_an_integer(spark):
+    records = spark.createDataFrame([("a", '{"i":1,"f":1.0,"h":1.50,"s":"1","big":100000000000000000000}')], "id string, payload string")
+    got = {row.path: (row.kind, row.text) for row in flatten_json(records, "payload", ["id"]).collect()}
+    assert got == {"i": ("number", "1"), "f": ("number", "1.0"), "h": ("number", "1.5"), "s": ("string", "1"), "big": ("number", "100000000000000000000")}
+
+
 def test_impossible_page_numbers_fall_back(spark):
     record = '{"invoices":[{"page_number":99999999999,"invoice":{"invoice_number":"7"},"items":[{"line_number":99999999999,"quantity":3}]}]}'
     rows = gt_fields(spark.createDataFrame([("d", record)], "document_id string, payload string")).collect()
