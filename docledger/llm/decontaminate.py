@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 WINDOW = 13
 SHINGLE = 3
-#: Windows of one block; at 13 words each this bounds what the driver and a task hold to some ten MB.
+#: Windows of one block; at 13 words each the driver and a task hold about 100 MB of them.
 BLOCK_WINDOWS = 100_000
 
 # Fixed value: bytes outside [0-9A-Za-z] and non-ASCII separate words, A-Z are lower-cased.

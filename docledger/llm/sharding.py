@@ -54,8 +54,8 @@ def shard_documents(docs: DataFrame, *, shards: int = 40, text: str = "text", do
         F.col(doc_id).alias("doc_id"), (F.octet_length(value) + 16).cast("bigint").alias("size"),
         F.crc32(value).alias("text_crc32"), F.md5(F.concat(label, F.lit(":"), F.md5(value))).alias("_place"),
     )
-    digits = 1
-    while docs.count() > CHUNK_ROWS * shards * 16**digits and digits < 8:
+    digits, total = 1, docs.count()
+    while total > CHUNK_ROWS * shards * 16**digits and digits < 8:
         digits += 1
     counted = rows.groupBy("doc_id", "size", "text_crc32", "_place").agg(F.count(F.lit(1)).alias("_n"))
     placed = assign_shards(counted, shards=shards).withColumn("_chunk", F.substring("_place", 1, digits))
