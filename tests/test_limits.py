@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docledger.functions.text import casefold, fold_text
 from docledger.functions.values import number_text, parse_number
+from docledger.operators.checks import validate_annotations, validation_summary
 from docledger.operators.flatten import flatten_json, gt_fields
 from docledger.operators.training import best_checkpoint, token_dataset
 from docledger.operators.transcription import pair_transcriptions
@@ -79,3 +80,12 @@ def test_best_checkpoint_of_one_large_run(spark):
     best, refused = best_checkpoint(rows)
     assert best.first().epoch == 99 and refused.isEmpty()
     assert best_checkpoint(rows, greater_is_better=False)[0].first().epoch == 0
+
+
+def test_unreadable_records_are_named(spark):
+    records = spark.createDataFrame(
+        [("a", '{"x":1}'), ("b", "[1]"), ("c", "{oops"), ("d", None), ("e", '{"x":1,"x":2}')], "document_id string, payload string")
+    for stage in ("final", "tables"):
+        checked = validate_annotations(records, stage)
+        assert {row.document_id for row in checked.collect() if not row.failed_rules} == {"a"}
+        assert validation_summary(checked).first().valid == 1
