@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docledger.llm.trees import Forest, fit_forest
+from docledger.session import cut_lineage
 
 #: Labelled URLs the trees are fitted to, at most (in expectation); they are drawn by hash.
 SAMPLE_ROWS = 20_000
@@ -52,7 +53,7 @@ def label_url(host: Column) -> Column:
     return F.arrays_overlap(F.split(host, "[^a-z]+"), F.array(*map(F.lit, UNWANTED))).cast("int")
 
 
-#: Lexical features, in the order of the matrix; the last two come from the labelled sample.
+#: Lexical features, in the order of the matrix; the last two come from all labelled URLs.
 FEATURES = (
     "url_length", "host_length", "path_length", "host_parts", "depth", "longest_part", "hyphens", "host_digit_share",
     "digit_share", "host_entropy", "entropy", "parameters", "query_length", "fragment", "secure", "vowel_share",
@@ -62,11 +63,13 @@ _TO_LOWER = str.maketrans(UPPER, LOWER)
 _PARTS = re.compile(r"^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", re.DOTALL)
 #: Labelled URLs of average rate a suffix is given beside its own.
 _PRIOR = 20.0
+#: A sampled URL is described by the labels of the other folds.
+_FOLDS = 5
 
 
 class UrlModel(NamedTuple):
     forest: Forest
-    rates: dict[str, float]  #: share of unwanted labels under a host suffix, smoothed
+    rates: DataFrame  #: part, rate: share of unwanted labels under every labelled host suffix, smoothed
     average: float
 
 
@@ -79,10 +82,17 @@ def _share(text: str, marks: str) -> float:
     return sum(map(text.count, marks)) / max(1, len(text))
 
 
-def _suffixes(host: str) -> tuple[str, str]:
-    """The host without its first part if it has more than two, and its last two parts."""
-    parts = host.split(".")
-    return ".".join(parts[-3:]), ".".join(parts[-2:])
+def _site(host: Column) -> Column:
+    """The host's last three parts; its last two are the suffix."""
+    return F.substring_index(host, ".", -3)
+
+
+def _suffix(host: Column) -> Column:
+    return F.substring_index(host, ".", -2)
+
+
+def _smoothed(bad: Column, seen: Column, average: float) -> Column:
+    return (bad + _PRIOR * average) / (seen + _PRIOR)
 
 
 def _split(url: str) -> tuple[str, str, str, str, str]:
@@ -91,54 +101,81 @@ def _split(url: str) -> tuple[str, str, str, str, str]:
     return scheme, host.translate(_TO_LOWER), path, query, fragment
 
 
-def lexical(url: str, rates: dict[str, float], average: float) -> list[float]:
+def lexical(url: str, site_rate: float, suffix_rate: float) -> list[float]:
     scheme, host, path, query, fragment = _split(url)
     parts = host.split(".")
-    site, suffix = _suffixes(host)
     return [
         len(url), len(host), len(path), len(parts), len([part for part in path.split("/") if part]), max(map(len, parts)),
         host.count("-"), _share(host, "0123456789"), _share(url, "0123456789"), _entropy(host), _entropy(url),
         query.count("=") + query.count("&"), len(query), bool(fragment), scheme == "https", _share(host, "aeiou"),
-        rates.get(site, average), rates.get(suffix, average),
+        site_rate, suffix_rate,
     ]
 
 
 def fit_urls(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
-    """Model from (url, label) rows; a hash sample of ``sample_rows`` distinct URLs reaches the driver."""
+    """Model from (url, label) rows: rates of all distinct URLs, and trees fitted to a hash sample of ``sample_rows``.
+
+    The rates stay a table; only the sample reaches the driver, each URL with the rates of the other folds.
+    """
     usable = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).groupBy("url").agg(F.max("label").alias("label"))
-    total = max(1, usable.count())
+    total, unwanted = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    average = unwanted / max(1, total)
+    host = host_of(F.col("url"))
+    folded = usable.select(
+        "url", "label", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(_FOLDS)).alias("fold"),
+        _site(host).alias("site"), _suffix(host).alias("suffix"),
+    )
+    counts = cut_lineage(
+        folded.select("label", "fold", F.explode(F.array_distinct(F.array("site", "suffix"))).alias("part"))
+        .groupBy("part", "fold").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("bad"))
+    )
+    sums = counts.groupBy("part").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
+    rates = cut_lineage(sums.select("part", _smoothed(F.col("all_bad"), F.col("all_seen"), average).alias("rate")))
+
     place = F.pmod(F.xxhash64("url"), F.lit(1_000_000))
-    rows = usable.where(place < int(1_000_000 * min(1.0, sample_rows / total))).orderBy("url").collect()
-    seen, bad = Counter(), Counter()
-    for row in rows:
-        for suffix in dict.fromkeys(_suffixes(_split(row.url)[1])):
-            seen[suffix] += 1
-            bad[suffix] += row.label
-    average = sum(row.label for row in rows) / max(1, len(rows))
-    rates = {suffix: (bad[suffix] + _PRIOR * average) / (seen[suffix] + _PRIOR) for suffix in seen}
-    matrix = np.array([lexical(row.url, rates, average) for row in rows], float).reshape(len(rows), len(FEATURES))
+    sample = folded.where(place < int(1_000_000 * min(1.0, sample_rows / max(1, total))))
+    own = F.when(F.col("level") == 0, F.col("site")).otherwise(F.col("suffix"))
+    others = _smoothed(F.col("all_bad") - F.col("bad"), F.col("all_seen") - F.col("seen"), average)
+    rows = (
+        sample.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("part", own)
+        .join(counts, ["part", "fold"]).join(sums, "part").groupBy("url", "label")
+        .agg(F.max(F.when(F.col("level") == 0, others)).alias("site_rate"), F.max(F.when(F.col("level") == 1, others)).alias("suffix_rate"))
+        .orderBy("url").collect()
+    )
+    matrix = np.array([lexical(row.url, row.site_rate, row.suffix_rate) for row in rows], float).reshape(len(rows), len(FEATURES))
     return UrlModel(fit_forest(matrix, np.array([row.label for row in rows], float), trees=40), rates, average)
 
 
+def _site_rates(hosts: DataFrame, model: UrlModel) -> DataFrame:
+    """_site, _site_rate, _suffix_rate for every site of ``hosts``, counted down to sites before the joins."""
+    sites = hosts.select(_site(F.col("host")).alias("_site")).distinct().withColumn("_suffix", _suffix(F.col("_site")))
+    for key in ("_site", "_suffix"):
+        rated = model.rates.select(F.col("part").alias(key), F.col("rate").alias(f"{key}_rate"))
+        sites = sites.join(rated, key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(model.average)))
+    return sites.drop("_suffix")
+
+
 def judge_urls(
     pages: DataFrame, model: UrlModel, *, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES
 ) -> DataFrame:
     """``pages`` with host, path, rule, score (chance that the URL is unwanted) and verdict.
 
     A null URL, or one without ``://``, has an empty host and path and fits no rule; the model then
-    scores its text. Rows are judged one by one; columns named like a result are replaced.
+    scores its text. Rows are joined to the rates of their site, those of an unlabelled one are average;
+    columns named like a result are replaced.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast(model.forest)
 
     @F.arrow_udf(T.DoubleType())
-    def unwanted(urls: pa.Array) -> pa.Array:
-        forest, rates, average = shared.value
-        rows = np.array([lexical(value or "", rates, average) for value in urls.to_pylist()], float)
-        return pa.array(forest.score(rows.reshape(-1, len(FEATURES))), pa.float64())
+    def unwanted(urls: pa.Array, site_rates: pa.Array, suffix_rates: pa.Array) -> pa.Array:
+        parts = zip(urls.to_pylist(), site_rates.to_pylist(), suffix_rates.to_pylist())
+        rows = np.array([lexical(value or "", *rates) for value, *rates in parts], float)
+        return pa.array(shared.value.score(rows.reshape(-1, len(FEATURES))), pa.float64())
 
-    split = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    split = pages.withColumns({"_url": F.col(url), "host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    rated = split.withColumn("_site", _site(F.col("host"))).join(_site_rates(split, model), "_site", "left")
     rule, says = compile_rules(rules, F.col("host"), F.col("path"))
-    scored = split.withColumns({"rule": rule, "_says": says, "score": unwanted(url)})
+    scored = rated.withColumns({"rule": rule, "_says": says, "score": unwanted("_url", "_site_rate", "_suffix_rate")})
     return scored.withColumn(
         "verdict", F.coalesce("_says", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    ).drop("_says")
+    ).drop("_says", "_url", "_site", "_site_rate", "_suffix_rate")

@@ -124,6 +124,17 @@ def test_unwanted_hosts_are_learned(spark):
     assert right / len(judged) > 0.97
 
 
+def test_hosts_outside_the_sample_have_their_own_rate(spark):
+    urls = [(k, f"http://{'spam' if k % 5 == 0 else 'span'}-{k}.example.net/en/{page}") for k in range(1000) for page in range(4)]
+    rows = spark.createDataFrame(urls, "page_id long, url string")
+    model = fit_urls(rows.select("url", label_url(host_of(F.col("url"))).alias("label")), sample_rows=400)
+    assert model.rates.count() == 1001
+    judged = judge_urls(rows, model)
+    assert judged.columns == ["page_id", "url", "host", "path", "rule", "score", "verdict"] and judged.count() == 4000
+    missed = judged.where((F.col("verdict") == "block") != (F.col("page_id") % 5 == 0)).count()
+    assert missed < 40
+
+
 # trees and quality
 
 
