@@ -26,7 +26,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     files = file_count(pages)
-    return audit(archive(pages, files), archive(damaged_copy(pages), files))
+    return audit(archive(pages, files), archive(damaged_copy(pages), files)).drop("copies")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

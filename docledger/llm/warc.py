@@ -8,6 +8,9 @@ differ are the next level's nodes looked at, down to the records that are change
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ FANOUT = 16
 LEAST_HEIGHT = 3
 #: Records of one file, on average.
 FILE_RECORDS = 256
+#: Records of one id and address that one task numbers, on average.
+CHUNK_ROWS = 50_000
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -45,19 +50,34 @@ def archive(pages: DataFrame, files: int) -> DataFrame:
 
     Records of a file lie in the order of id (nulls first), address and digest. Equal records are
     counted, not kept apart, and lie next to each other: ``offset`` is where the first begins,
-    ``length`` the bytes of one. A file holds some hundred records whatever the size of the crawl.
+    ``length`` the bytes of one. A file holds some hundred records whatever the size of the crawl,
+    and more only if many different ones share an id and address; those are numbered in chunks of
+    the digest, whose offsets come from their counts.
     """
     body = record(F.col("page_id"), F.col("url"), F.col("html"))
     hashed = pages.select(
         file_of(F.col("page_id"), F.col("url"), files).alias("file"), "page_id", "url",
         F.octet_length(body).cast("bigint").alias("length"), F.sha2(body, 256).alias("digest"),
     )
-    counted = hashed.groupBy("file", "page_id", "url", "length", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "digest")
+    counted = cut_lineage(hashed.groupBy("file", "page_id", "url", "length", "digest").agg(F.count(F.lit(1)).alias("copies")))
+    digits, total = 1, counted.count()
+    while total > CHUNK_ROWS * 16**digits and digits < 8:
+        digits += 1
+    chunk = ["file", "page_id", "url", "_chunk"]
+    chunked = counted.withColumn("_chunk", F.substring("digest", 1, digits)).withColumn("_bytes", F.col("length") * F.col("copies"))
+    earlier = Window.partitionBy("file").orderBy(*chunk[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunked.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_size")).select(
+        *(F.col(name).alias(f"_of_{name}") for name in chunk),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rank"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
+    )
+    order = Window.partitionBy(*chunk).orderBy("digest")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return counted.select(
-        "file", (F.row_number().over(order) - 1).cast("bigint").alias("ordinal"),
-        F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0)).alias("offset"),
+    numbered = chunked.withColumn("_row", F.row_number().over(order) - 1).withColumn(
+        "_before", F.coalesce(F.sum("_bytes").over(before), F.lit(0))
+    )
+    same = functools.reduce(operator.and_, (F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in chunk))
+    return numbered.join(offsets, same).select(
+        "file", (F.col("_rank") + F.col("_row")).cast("bigint").alias("ordinal"), (F.col("_offset") + F.col("_before")).alias("offset"),
         "length", "copies", "page_id", "url", "digest",
     )
 
@@ -113,10 +133,11 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
     ``kind`` is ``file`` or ``record``. A file's ``status`` is intact, damaged, missing or extra, with
     both roots in hash and other_hash and its bytes in our archive. A record's status is changed,
-    missing (only ours has it) or extra, with both digests and the place in the archive that has it.
-    Records are matched by id and address below the differing branches only; of several under one
-    id and address those that occur equally often on both sides are left out. Empty archives give no
-    rows.
+    missing (only ours has it, or has it more often) or extra, with both digests and the place in the
+    archive that has it, ours first; ``copies`` says how many are concerned. Records are matched by
+    id, address and digest below the differing branches only, and every digest whose counts differ
+    has a row. Where one digest of an id and address is left on each side, equally often, the two
+    are one changed record. Empty archives give no rows.
     """
     ours, theirs = cut_lineage(ours), cut_lineage(theirs)
     our_tree, their_tree = tree(ours), tree(theirs)
@@ -138,6 +159,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
             F.lit("file").alias("kind"), "file", status.alias("status"), F.lit(None).cast("bigint").alias("page_id"),
             F.lit(None).cast("string").alias("url"), F.lit(0).cast("bigint").alias("offset"),
             F.coalesce("hash_bytes", "other_hash_bytes").alias("length"), "hash", "other_hash",
+            F.lit(None).cast("bigint").alias("copies"),
         )
     )
     leaves = differing.where("level = 0").select("file", F.col("node").alias("ordinal"))
@@ -147,7 +169,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         )
         for number, side in enumerate((ours, theirs))
     ]
-    uneven = (
+    uneven = cut_lineage(
         marked[0].union(marked[1]).groupBy("file", "page_id", "url", "digest")
         .agg(
             F.sum(F.when(F.col("side") == 0, F.col("copies")).otherwise(-F.col("copies"))).alias("_more"),
@@ -156,16 +178,28 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         .where("_more <> 0")
     )
     ours_more, theirs_more = F.when(F.col("_more") > 0, F.col("digest")), F.when(F.col("_more") < 0, F.col("digest"))
-    records = (
+
+    def rows(found: DataFrame, status: Column) -> DataFrame:
+        return found.select(
+            F.lit("record").alias("kind"), "file", status.alias("status"), "page_id", "url", F.col("_at.offset").alias("offset"),
+            F.col("_at.length").alias("length"), "hash", "other_hash", F.abs("_more").alias("copies"),
+        )
+
+    changed = (
         uneven.groupBy("file", "page_id", "url")
-        .agg(F.min(ours_more).alias("hash"), F.min(theirs_more).alias("other_hash"), F.min("_at").alias("_at"))
-        .select(
-            F.lit("record").alias("kind"), "file",
-            F.when(F.col("other_hash").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed").alias("status"),
-            "page_id", "url", F.col("_at.offset").alias("offset"), F.col("_at.length").alias("length"), "hash", "other_hash",
+        .agg(
+            F.count(ours_more).alias("_ours"), F.count(theirs_more).alias("_theirs"), F.sum("_more").alias("_left"),
+            F.max("_more").alias("_more"), F.min(ours_more).alias("hash"), F.min(theirs_more).alias("other_hash"), F.min("_at").alias("_at"),
         )
+        .where("_ours = 1 and _theirs = 1 and _left = 0")
+    )
+    # joined by digest too, so that many rows of one id and address spread
+    paired = changed.select("file", F.explode(F.array("hash", "other_hash")).alias("digest"), "page_id", "url")
+    same = functools.reduce(operator.and_, (uneven[name].eqNullSafe(paired[name]) for name in ("file", "page_id", "url", "digest")))
+    alone = uneven.join(paired, same, "left_anti").withColumns({"hash": ours_more, "other_hash": theirs_more})
+    return files.union(rows(changed, F.lit("changed"))).union(
+        rows(alone, F.when(F.col("_more") > 0, "missing").otherwise("extra"))
     )
-    return files.union(records)
 
 
 def damaged_copy(pages: DataFrame) -> DataFrame:

@@ -201,6 +201,39 @@ def test_audit_of_odd_tables(spark):
     assert damaged_copy(pages(spark)).columns == ["page_id", "url", "html"]
 
 
+def test_every_damaged_record_of_an_address_is_reported(spark):
+    def side(*bodies):
+        return archive(spark.createDataFrame([(1, "u", body) for body in bodies] + [(2, "u", "x"), (2, "u", "x")], PAGES), 1)
+
+    def found(ours, theirs):
+        rows = audit(side(*ours), side(*theirs)).where("kind = 'record'").collect()
+        return sorted((row.status, row.page_id, row.copies) for row in rows)
+
+    assert found("AB", "C") == [("extra", 1, 1), ("missing", 1, 1), ("missing", 1, 1)]
+    assert found("AB", "AC") == [("changed", 1, 1)]
+    assert found("AAAAA", "AA") == [("missing", 1, 3)] and found("AA", "BB") == [("changed", 1, 2)]
+    assert found("AAA", "B") == [("extra", 1, 1), ("missing", 1, 3)]
+    nameless = spark.createDataFrame([(None, None, f"{k}") for k in range(1000)], PAGES)
+    rows = audit(archive(nameless, 2), archive(nameless.where("html = '7'"), 2)).where("kind = 'record'").collect()
+    assert len(rows) == 999 and {row.status for row in rows} == {"missing"} and len({row.hash for row in rows}) == 999
+
+
+def test_records_of_one_address_are_numbered_in_chunks(spark, monkeypatch):
+    from docledger.llm import warc
+
+    mixed = pages(spark, 50).union(spark.createDataFrame([(None, None, "x" * (k % 9) + f"{k // 2}") for k in range(900)], PAGES))
+    monkeypatch.setattr(warc, "CHUNK_ROWS", 5)
+    whole = archive(mixed, 2)
+    rows = sorted(whole.collect(), key=lambda r: (r.file, r.page_id is not None, r.page_id, r.url or "", r.digest))
+    ordinal, offset, file = 0, 0, None
+    for row in rows:
+        ordinal, offset = (ordinal, offset) if row.file == file else (0, 0)
+        assert (row.ordinal, row.offset) == (ordinal, offset)
+        ordinal, offset, file = ordinal + 1, offset + row.length * row.copies, row.file
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(file#" in plan and "_chunk" in plan
+
+
 def test_pipeline_matches_its_stages_by_hand(spark, tmp_path):
     prose = "the river ran to the sea and it was cold in the morning when they went down to look at it with a lamp"
     item = " ".join(f"term{k}" for k in range(16))
