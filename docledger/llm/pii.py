@@ -91,6 +91,10 @@ LABELLED = (
     "order 100200300 shipped", "id 2390409500648961 unknown", "isbn 978-3-16-148410-0", "1,000,000 people", "pi is 3.14159265",
     "step 1) and 2) of 10", "room 12-34 on floor 5", "at 7 pm", "look @ this", "meet @ noon", "user @home said 5", "50 % or 0.5",
     "scores 21-19 and 15-21", "the 3rd of 4 parts", "A4 and B52", "x2 = 49", "2001: a film", "no. 17 (of 20)", "(1998) 12, 345-367",
+    "write to e{max AT example.com} today", "e{jo (AT) example.com}", "e{KIM (AT) EXAMPLE (DOT) ORG}", "mail e{SUE [AT] MAIL.EXAMPLE.NET} now",
+    "e{ana at example dot com}", "write to e{lee at example dot net} please", "contact: e{ben AT example DOT org}", "or e{amy at mail dot example dot org}",
+    "mail e{JO [AT] EXAMPLE [DOT] COM} soon", "we met at noon and left", "look at example.com for more", "MEET AT NOON", "THEY WERE AT HOME",
+    "she was good at dot painting", "at the end a dot was seen", "he sat at the table by the sea", "LOOK AT THE DOT ON THE MAP",
     "tel quel il a dit", "card games and phone calls of 1999", "mail came at 9", "one [at] a time", "row 5 (at) end",
 )
 _MARK = re.compile(r"([peic])\{([^}]*)\}")
@@ -99,9 +103,13 @@ _WORD = re.compile(r"\S+")
 _LABELS = ("O", *(f"{part}-{kind}" for kind in KINDS for part in "BI"))
 _CUES = frozenset("call tel phone telefon téléfono teléfono mobile fax ring number numéro card visa amex mail address host ping server from to at".split())
 _SHAPE = ((re.compile("[0-9]+"), lambda m: "9" * min(len(m[0]), 5) + "+" * (len(m[0]) > 5)), (re.compile("[^\\W0-9_a-z]+"), "A"), (re.compile("[a-zß-ÿ]+"), "a"))
-#: Words on each side of a word with a digit, an at-sign or a spelt one that the field reads along.
+#: Words on each side of a word with a digit, an at-sign or a spelt at or dot that the field reads along.
 REACH = 4
-_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")
+#: Whatever _NEEDS asks for has one of these: a superset, so no sound span is passed over.
+_TRIGGER = re.compile(r"[0-9@]|(?<![^\W_])(?:at|dot)(?![^\W_])", re.IGNORECASE)
+
+
+_SPELT = re.compile(r"[(\[](?:at|dot)[)\]]", re.IGNORECASE)
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -111,8 +119,22 @@ def _shape(word: str) -> str:
     return word[:24]
 
 
+def _spelt_out(words: list[str]) -> dict[int, str]:
+    """Places of words in ``name at host dot end`` and ``name AT host.end``, with or without brackets."""
+    out: dict[int, str] = {}
+    bare = [word.strip("()[].,;:\"'").lower() for word in words]
+    for k in range(1, len(words) - 1):
+        if bare[k] == "at":
+            stop = k + 1
+            while stop + 2 < len(words) and bare[stop + 1] == "dot":
+                stop += 2
+            if stop > k + 1 or (words[k] != "at" and "." in bare[stop]):
+                out |= {k - 1: "name", **dict.fromkeys(range(k, stop + 1), "rest")}
+    return out
+
+
 def _features(words: list[str]) -> list[list[str]]:
-    shapes = [_shape(word) for word in words]
+    shapes, spelt_out = [_shape(word) for word in words], _spelt_out(words)
     out = []
     for k, word in enumerate(words):
         bare = word.strip(".,;:()\"'").lower()
@@ -120,10 +142,12 @@ def _features(words: list[str]) -> list[list[str]]:
         row = [
             "bias", f"s={shapes[k]}", f"digits={min(digits, 20)}", f"mixed={word.isalnum() and not word.isdigit() and digits > 0}",
             f"plus={word[0] == '+'}", f"round={word[0] == '('}", f"dots={min(word.count('.'), 4)}", f"dash={min(word.count('-'), 3)}",
-            f"at={'@' in word}", f"spelt={bool(re.search(r'[(\[](at|dot)[)\]]', word))}", f"quote={word[0] == chr(34)}",
+            f"at={'@' in word}", f"spelt={bool(_SPELT.search(word))}", f"quote={word[0] == chr(34)}",
         ]
         row.append(f"p={shapes[k - 1]}" if k else "first")
         row.append(f"n={shapes[k + 1]}" if k + 1 < len(words) else "last")
+        if k in spelt_out:
+            row.append(f"spelt-out={spelt_out[k]}")
         if bare in _CUES:
             row.append(f"w={bare}")
         if k and words[k - 1].strip(".,;:").lower() in _CUES:
@@ -249,7 +273,7 @@ def viterbi(field: Field, sequences: list[list[str]]) -> list[np.ndarray]:
 
 
 def _stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Words near a trigger, as runs of (start, end); text away from any has none of the kinds."""
+    """Words near a trigger, as runs of (start, end); a span without any would not be sound. None crosses a line."""
     out: list[list[tuple[int, int]]] = []
     for line in _LINE.finditer(text):
         if not _TRIGGER.search(text, line.start(), line.end()):
@@ -271,7 +295,10 @@ _LINE = re.compile(r"[^\n]+")
 _EDGE = "\"'.,;:!?|#$%&*<>"
 #: What a span of the field must hold, whatever its words look like.
 _NEEDS = {
-    "email": re.compile(r"[A-Za-z0-9]\s*(?:@|[(\[]\s*at\s*[)\]]|\sAT\s).*[A-Za-z]", re.DOTALL),
+    "email": re.compile(
+        r"[A-Za-z0-9]\s*(?:@|[(\[]\s*(?i:at)\s*[)\]]|\sAT\s+[A-Za-z0-9.-]*[A-Za-z0-9]\.(?=[A-Za-z])"
+        r"|\s(?i:at)\s.*[A-Za-z0-9]\s*[(\[\s]\s*(?i:dot)\s*[)\]\s]).*[A-Za-z]", re.DOTALL
+    ),
     "ip": re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), "card": re.compile(r"(?:[0-9][^0-9]?){12,19}"),
     "phone": re.compile(r"(?:[0-9][^0-9]{0,3}){7,15}"),
 }

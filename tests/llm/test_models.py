@@ -210,6 +210,20 @@ def test_field_adds_what_patterns_miss():
     ]
 
 
+def test_field_sees_spelt_addresses_without_digits():
+    texts = [
+        "write to max AT example.com", "jo (AT) example.com", "please write to ana at example dot com", "or ana at example dot com today",
+        "contact: kim AT example DOT org", "write to BOB [AT] MAIL [DOT] EXAMPLE [DOT] ORG", "we met at noon and looked at the sea",
+        "MEET AT NOON", "THEY WERE AT HOME. JOHN AT WORK", "look at example.com for more", "she was good at dot painting",
+    ]
+    added = field_spans(trained_field(), texts, [base_spans(text) for text in texts])
+    assert [[(text[a:b], kind) for a, b, kind in spans] for text, spans in zip(texts, added)] == [
+        [("max AT example.com", "email")], [("jo (AT) example.com", "email")], [("ana at example dot com", "email")],
+        [("ana at example dot com", "email")], [("kim AT example DOT org", "email")], [("BOB [AT] MAIL [DOT] EXAMPLE [DOT] ORG", "email")],
+        [], [], [], [], [],
+    ]
+
+
 def test_viterbi_finds_the_best_path():
     field, words = trained_field(), "call (020) 555-0173 or 12 34".split()
     path = viterbi(field, [words, [], words[:2]])
