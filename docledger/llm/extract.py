@@ -28,8 +28,10 @@ BLOCK_TAGS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot"
     " th thead tr ul".split()
 )
-DROPPED_TAGS = frozenset("script style noscript template title textarea iframe svg math object select button canvas audio video".split())
+DROPPED_TAGS = frozenset("script style noscript template title textarea iframe svg select button".split())
 RAW_TAGS = frozenset("script style title textarea iframe noscript".split())
+#: Dropped elements that hold none of their kind: a further one ends the open one.
+LONE_TAGS = frozenset(("select", "button"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening the tag ends an open element of these kinds, up to the next of the fences.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -52,6 +54,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\s*\Z", re.IGNORECASE) for tag in RAW_TAGS}
+_DROPPED_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in DROPPED_TAGS}
 
 #: Block descriptions the classifier learns from: features in the order of ``FEATURES``, then 1 for content.
 FEATURES = ("in_main", "in_page", "main_hint", "page_hint", "link_share", "long", "sentence", "heading", "list_item")
@@ -125,11 +128,16 @@ def _element(tag: str, number: int, attributes: str, parent: _Open) -> _Open:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's non-empty blocks in order, with what the classifier looks at."""
+    """The page's non-empty blocks in order, with what the classifier looks at.
+
+    A dropped element ends with its end tag or with a block around it; without an end tag it ends at
+    the next block, and an article or main part begins outside of it.
+    """
     stack = [_Open("", 0, False, False, False, False)]
     out: list[Block] = []
     pieces: list[str] = []
-    linked, in_link, skip, number, at = 0, 0, [], 0, 0
+    last_end: dict[str, int] = {}
+    linked, in_link, skip, number, at = 0, 0, [], 0, 0  # skip: dropped elements that are open, with the depth they lie at
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -154,15 +162,22 @@ def blocks_of(page: str) -> list[Block]:
     def close_to(depth: int) -> None:
         flush()
         del stack[depth:]
+        while skip and skip[-1][1] > depth:
+            skip.pop()
 
-    def find(kinds: set[str], fences: frozenset[str]) -> int:
-        for depth in range(len(stack) - 1, 0, -1):
+    def find(kinds: set[str], fences: frozenset[str], floor: int = 1) -> int:
+        for depth in range(len(stack) - 1, floor - 1, -1):
             if stack[depth].tag in kinds:
                 return depth
             if stack[depth].tag in fences:
                 break
         return 0
 
+    def ends_later(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((found.start() for found in _DROPPED_END[tag].finditer(page)), default=-1)
+        return last_end[tag] >= at
+
     while match := _TOKEN.search(page, at):
         add(page[at:match.start()])
         at = match.end()
@@ -176,19 +191,26 @@ def blocks_of(page: str) -> list[Block]:
             add(" ")
         elif tag in DROPPED_TAGS:
             if not closing and not attributes.endswith("/"):
-                skip.append(tag)
-            elif closing and tag in skip:
-                del skip[skip.index(tag):]
+                if tag in LONE_TAGS:
+                    skip[:] = skip[: next((k for k, entry in enumerate(skip) if entry[0] == tag), len(skip))]
+                skip.append((tag, len(stack)))
+            elif closing:
+                for place in range(len(skip) - 1, -1, -1):
+                    if skip[place][0] == tag:
+                        del skip[place:]
+                        break
         elif tag == "br":
             add("\n")
         elif tag == "a":
             in_link = 0 if closing else 1
         elif tag in BLOCK_TAGS:
+            while skip and (not ends_later(skip[-1][0]) or (tag in MAIN_TAGS and not closing and skip[-1][0] != "template")):
+                skip.pop()
             if closing:
                 depth = find({tag}, frozenset())
                 close_to(depth) if depth else flush()
             else:
-                depth = find({"p"}, frozenset())
+                depth = find({"p"}, frozenset(), skip[-1][1] if skip else 1)
                 if not depth:
                     depth = find(CLOSES.get(tag, set()), FENCES)
                 close_to(depth) if depth else flush()

@@ -55,6 +55,28 @@ def test_broken_pages_do_not_fail(page):
     assert isinstance(main_text(page), str)
 
 
+BODY = "<article><h1>Story</h1><p>The quick fox jumped over the dog and then went its way to the river.</p></article>"
+STORY = "Story\n\nThe quick fox jumped over the dog and then went its way to the river."
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "template", "object", "canvas", "audio", "video"])
+def test_unclosed_elements_end_with_their_block(tag):
+    assert main_text(f"<div class=share><{tag}>Share</div>{BODY}").endswith(STORY)
+    assert main_text(f"<div class=share><{tag}>Share</div>{BODY}<div class=share><{tag}>x</{tag}></div>").endswith(STORY)
+    assert main_text(f"<body><{tag}>{BODY}").endswith(STORY)
+
+
+def test_dropped_elements_drop_their_blocks_only():
+    later = "<p>More <button><div>Go</div></button> to <svg><text>no</text></svg> read.</p>"
+    assert main_text(f"<body><button>Share{BODY}{later}") == f"{STORY}\n\nMore\n\nto read."
+    assert main_text(f"{BODY}<template><article><p>A hidden part of it.</p></article></template>") == STORY
+
+
+def test_formulas_and_fallbacks_stay():
+    page = "<article><p>So <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds here.</p><object data=x><p>The map shows a long river.</p></object></article>"
+    assert main_text(page) == "So a=b holds here.\n\nThe map shows a long river."
+
+
 def test_long_page_stays_whole():
     page = "<article>" + "".join(f"<p>Paragraph {k} of it.</p>" for k in range(5000)) + "</article>"
     assert main_text(page).count("\n\n") == 4999
