@@ -7,11 +7,13 @@ shingle; the occurrence fixes where the window would start, the length bound rej
 would leave the document, and the words are then compared exactly.
 
 The windows are cut into blocks of bounded size, each sent to the tasks as a whole; the documents
-are scanned once a block for shingle counts and once for matches, and never shuffled.
+are scanned once a block for shingle counts and once for matches. Items stay a table: a document
+carries the numbers of its windows, and each different set of them is joined to its items once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -20,10 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docledger.session import cut_lineage
+
 WINDOW = 13
 SHINGLE = 3
 #: Windows of one block; at 13 words each the driver and a task hold about 100 MB of them.
 BLOCK_WINDOWS = 100_000
+#: Bytes of the windows of one block, on average.
+BLOCK_BYTES = 10_000_000
+#: Sets of windows up to which their results are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_SETS = 50_000
 
 # Fixed value: bytes outside [0-9A-Za-z] and non-ASCII separate words, A-Z are lower-cased.
 _TO_WORDS = bytes(
@@ -32,9 +40,9 @@ _TO_WORDS = bytes(
     else 0x20
     for byte in range(256)
 )
-_FOUND = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("n_words", pa.int64())])
+_FOUND = pa.struct([("spans", pa.list_(pa.int32())), ("windows", pa.list_(pa.binary())), ("n_words", pa.int64())])
 _FOUND_TYPE = T.StructType([
-    T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("windows", T.ArrayType(T.BinaryType())),
     T.StructField("n_words", T.LongType()),
 ])
 
@@ -82,15 +90,15 @@ def _shingle_counts(docs: DataFrame, text: str, wanted: frozenset) -> dict[tuple
     return {tuple(row.shingle.split(b" ")): row.n for row in counted.collect()}
 
 
-def _index(block: dict[bytes, list[str]], rarity: dict[tuple[bytes, ...], int]) -> dict:
-    """Prefix shingle -> [(its place in the window, the window's words, its items)]."""
+def _index(block: list[bytes], rarity: dict[tuple[bytes, ...], int]) -> dict:
+    """Prefix shingle -> [(its place in the window, the window's words, its number)]."""
     index: dict = defaultdict(list)
-    for window, items in block.items():
+    for window in block:
         words = window.split(b" ")
         shingles = list(_shingles(words, _width(words)))
         if all(shingle in rarity for shingle in shingles):  # else some shingle occurs nowhere, nor does the window
             at = min(range(len(shingles)), key=lambda k: (rarity[shingles[k]], shingles[k], k))
-            index[shingles[at]].append((at, words, items))
+            index[shingles[at]].append((at, words, hashlib.md5(window).digest()))
     return dict(index)
 
 
@@ -106,32 +114,32 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
 
 
 def _scan(docs: DataFrame, text: str, index: dict, found: str | None) -> DataFrame:
-    """Adds ``_found`` with the words hit and the items seen, over what earlier blocks found."""
+    """Adds ``_found`` with the words hit and the windows seen, over what earlier blocks found."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     widths = sorted({len(shingle) for shingle in index})
 
-    def match(words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        spans, items = [], set()
+    def match(words: list[bytes]) -> tuple[list[tuple[int, int]], set[bytes]]:
+        spans, seen = [], set()
         for width in widths:
             for place, shingle in enumerate(_shingles(words, width)):
                 if shingle in shared.value:
-                    for offset, window, owners in shared.value[shingle]:
+                    for offset, window, number in shared.value[shingle]:
                         start, end = place - offset, place - offset + len(window)
                         if start >= 0 and end <= len(words) and words[start:end] == window:
                             spans.append((start, end))
-                            items.update(owners)
-        return spans, items
+                            seen.add(number)
+        return spans, seen
 
     def rows(texts: pa.Array, before: list | None) -> pa.Array:
         out = []
         for k, value in enumerate(texts.cast(pa.binary())):
             words = _words(value.as_py() or b"")
-            spans, items = match(words)
+            spans, seen = match(words)
             if before is not None:
-                items.update(before[k]["items"])
+                seen.update(before[k]["windows"])
                 flat = before[k]["spans"]
                 spans += zip(flat[::2], flat[1::2])
-            out.append({"spans": _merge(spans), "items": sorted(items), "n_words": len(words)})
+            out.append({"spans": _merge(spans), "windows": sorted(seen), "n_words": len(words)})
         return pa.array(out, _FOUND)
 
     @F.arrow_udf(_FOUND_TYPE)
@@ -157,30 +165,44 @@ def find_contamination(
     documents are judged row by row, repeated items count once. An empty benchmark hits nothing.
     Columns of ``docs`` named like a result are replaced, all others stay.
     """
-    windows = (
-        benchmark.select(F.col(item_id).cast("string").alias("item"), F.explode(_windows_of(item_text)).alias("window"))
-        .groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    owned = cut_lineage(
+        benchmark.select(F.col(item_id).cast("string").alias("item"), F.explode(_windows_of(item_text)).alias("window")).distinct()
     )
-    total = windows.count()
-    blocks = max(1, -(-total // block_windows))
+    windows = owned.select("window").distinct()
+    total, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    blocks = max(1, -(-total // block_windows), -(-size // BLOCK_BYTES))
     found = None
     for number in range(blocks):
         mine = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == number)
-        block = {bytes(row["window"]): row["items"] for row in mine.collect()}
+        block = sorted(bytes(row["window"]) for row in mine.collect())
         wanted = frozenset(
             shingle for window in block for words in [window.split(b" ")] for shingle in _shingles(words, _width(words))
         )
         rarity = _shingle_counts(docs, text, wanted) if wanted else {}
         docs = _scan(docs, text, _index(block, rarity), found)
         found = "_found"
+    numbers = F.col("_found.windows")
+    # the documents without a hit have a key of their own each, which spreads them
+    keyed = docs.withColumn("_key", F.when(F.size(numbers) > 0, F.sha2(F.array_join(F.transform(numbers, F.hex), ""), 256)).otherwise(
+        F.concat(F.lit("-"), F.xxhash64(text).cast("string"))
+    ))
+    owners = owned.where(F.col("item").isNotNull()).select(F.unhex(F.md5("window")).alias("number"), "item")
+    sets = keyed.where(F.size(numbers) > 0).select("_key", numbers.alias("_windows")).dropDuplicates(["_key"])
+    listed = cut_lineage(
+        sets.select("_key", F.explode("_windows").alias("number")).join(owners, "number").select("_key", "item").distinct()
+        .groupBy("_key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        .select(F.col("_key").alias("_set"), F.size("items").cast("bigint").alias("_n"), F.sha2(F.array_join("items", ","), 256).alias("_sha"))
+    )
+    few = listed.count() <= BROADCAST_SETS
+    docs = keyed.join(F.broadcast(listed) if few else listed, F.col("_key") == F.col("_set"), "left")
     spans = F.col("_found.spans")
     hit = F.aggregate(
         F.transform(spans, lambda at, k: F.when(k % 2 == 0, -at).otherwise(at)), F.lit(0), lambda total, at: total + at
     ).cast("bigint")
     judged = (
         docs.withColumn("n_words", F.col("_found.n_words")).withColumn("n_hit", hit)
-        .withColumn("n_items", F.size("_found.items").cast("bigint"))
-        .withColumn("items_sha256", F.sha2(F.array_join("_found.items", ","), 256))
+        .withColumn("n_items", F.coalesce("_n", F.lit(0).cast("bigint")))
+        .withColumn("items_sha256", F.coalesce("_sha", F.sha2(F.lit(""), 256)))
     )
     enough = (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words"))
-    return judged.withColumn("contaminated", enough).drop("_found")
+    return judged.withColumn("contaminated", enough).drop("_found", "_key", "_set", "_n", "_sha")

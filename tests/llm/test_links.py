@@ -152,6 +152,23 @@ def test_contamination_matches_brute_force(spark, block_windows):
         assert got == contamination(texts[row.doc_id], items), texts[row.doc_id]
 
 
+def test_no_item_lists_reach_the_tasks(spark, monkeypatch):
+    from docledger.llm import decontaminate
+
+    texts, items = benchmark_case()
+    prompt = " ".join(f"p{k}" for k in range(20))
+    items = [*items, *((100 + k, f"{prompt} v{k}") for k in range(300))]
+    texts = [*texts, f"{prompt} v7 {prompt}", prompt]
+    sent = []
+    monkeypatch.setattr(decontaminate, "_index", lambda block, rarity, f=decontaminate._index: sent.append(f(block, rarity)) or sent[-1])
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SETS", 0)
+    for row in find_contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect():
+        got = (row.n_words, row.n_hit, row.n_items, row.items_sha256, row.contaminated)
+        assert got == contamination(texts[row.doc_id], items), texts[row.doc_id]
+    assert len(sent) > 1 and all(isinstance(entry[2], bytes) for index in sent for entries in index.values() for entry in entries)
+
+
 def test_contamination_of_empty_tables(spark):
     texts, items = benchmark_case()
     bench = spark.createDataFrame(items, "item_id long, text string")
