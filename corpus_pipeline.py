@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docledger.llm.common import table
+from docledger.llm.common import private, public, table
 from docledger.llm.decontaminate import find_contamination
 from docledger.llm.mixing import repeat_mixed
 from docledger.llm.quality_rules import apply_rules
@@ -22,7 +22,7 @@ from docledger.session import shared_directory
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base or a rule go."""
-    return apply_rules(docs).where("kept").select(*docs.columns)
+    return public(apply_rules(private(docs), text="_own_text").where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages for at least one word in twenty go."""
-    judged = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where(~judged["contaminated"]).select(*docs.columns)
+    judged = find_contamination(private(docs), table(spark, sf_dir, "benchmark"), text="_own_text")
+    return public(judged.where(~judged["contaminated"]), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,16 @@ def settled(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def private(df: DataFrame) -> DataFrame:
+    """``df`` with its columns under names that no operator uses; see :func:`public`."""
+    return df.toDF(*(f"_own_{name}" for name in df.columns))
+
+
+def public(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that were ``names`` before :func:`private`, and nothing else."""
+    return df.select(*(f"`_own_{name}`" for name in names)).toDF(*names)
+
+
 def keep_columns(df: DataFrame, taken: set[str]) -> list[str]:
     """Columns of ``df`` that do not clash with the names an operator is about to add."""
     return [name for name in df.columns if name not in taken]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions.ordinals import number_rows
-from docledger.llm.common import word_count
+from docledger.llm.common import private, public, word_count
 from docledger.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -136,7 +136,8 @@ def mix_sources(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
 def repeat_mixed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    marked = sized(docs, text=text, doc_id=doc_id)
+    own = private(docs).withColumn("source", F.col("_own_source"))
+    marked = sized(own, text=f"_own_{text}", doc_id=f"_own_{doc_id}")
     plan = plan_mix(cut_lineage(marked.select("source", "size", "_hash")))
     mixed = mix(marked, plan).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return public(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)

@@ -268,3 +268,16 @@ def test_pipeline_matches_its_stages_by_hand(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == documents(spark, []).columns, name
     assert {row.doc_id for row in docs.collect()} == clean
+
+
+def test_stages_keep_columns_named_like_results(spark, tmp_path):
+    prose = "the river ran to the sea and it was cold in the morning when they went down to look at it with a lamp"
+    texts = [f"{prose} number {k} {' '.join(f'word{k * 37 % 101 + j}' for j in range(20))}" for k in range(6)]
+    own = {name: F.concat(F.lit(f"{name}-"), F.col("doc_id")) for name in ("target", "source_size", "size", "n_words", "kept", "n_hit", "contaminated")}
+    docs = documents(spark, texts).withColumns(own)
+    spark.createDataFrame([(1, "some other text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns[: len(docs.columns)] == docs.columns, name
+        rows = got.collect()
+        assert rows and all(row[column] == f"{column}-{row.doc_id}" for row in rows for column in own), name
