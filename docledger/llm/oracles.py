@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docledger.llm.decontaminate import WINDOW
+from docledger.llm.manifest import LEAF
 from docledger.llm.mixing import MOST, SHARE, WEIGHTS
 from docledger.llm.quality_rules import RULES, STOP_WORDS
 from docledger.llm.warc import FANOUT, FILE_RECORDS
@@ -199,3 +200,76 @@ select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as
   row_number() over (partition by shard order by place, doc_id) - 1 as slot, grown::int as grown_shard
 from summed join owned using (rid)
 """
+
+
+def _written(name: str) -> str:
+    return f"coalesce(octet_length(encode({name}::varchar))::varchar || ':' || {name}::varchar, '-')"
+
+
+def _climb(name: str, leaves: str, levels: int) -> str:
+    """(tree, pos, n, hash) tables name0..nameK; a tree's levels end with its single node."""
+    return f"{name}0 as ({leaves})" + "".join(f""",
+{name}{k} as (
+  select tree, pos // {FANOUT} as pos, (any_value(n) + {FANOUT - 1}) // {FANOUT} as n, sha256(string_agg(hash, '' order by pos)) as hash
+  from {name}{k - 1} where n > 1 group by tree, pos // {FANOUT}
+)""" for k in range(1, levels + 1))
+
+
+def _siblings(name: str, levels: int) -> str:
+    """Per node of each level its siblings on either side; the last node of a tree has none."""
+    return " union all ".join(f"""
+  select {k} as level, tree, pos, n, coalesce(string_agg(hash, '') over (w rows between unbounded preceding and 1 preceding), '') as before,
+    coalesce(string_agg(hash, '') over (w rows between 1 following and unbounded following), '') as after
+  from {name}{k} where n > 1 window w as (partition by tree, pos // {FANOUT} order by pos)""" for k in range(levels + 1))
+
+
+def _fold(name: str, source: str, prefix: str, levels: int) -> str:
+    """Joins the siblings of ``prefix`` level by level to ``source``, which has (tree, pos, node, proof)."""
+    steps = ""
+    for k in range(levels + 1):
+        steps += f""",
+{name}{k} as (
+  select a.* exclude (node, proof), case when s.n is null then node else sha256(before || node || after) end as node,
+    proof || coalesce(before || after, '') as proof
+  from {source if k == 0 else f"{name}{k - 1}"} a left join {prefix}_siblings s
+    on s.level = {k} and s.tree = a.tree and s.pos = a.pos // {FANOUT**k}
+)"""
+    return steps
+
+
+_LEVELS, _CROWN = 5, 3
+MERKLE_MANIFEST = rf"""
+with crc as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, {_POLYNOMIAL}) else c >> 1 end) as c
+    from range(256) r(i)
+  )
+),
+summed as (
+  select *, xor(list_reduce([4294967295::bigint] || list_transform(regexp_extract_all(hex(encode(doc_id::varchar)), '..'), lambda h: ('0x' || h)::bigint),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::bigint) as crc
+  from documents, crc
+),
+claims as (
+  select * exclude (text), text, case when coalesce(crc % 5 = 0, false) then translate(text, '{_UPPER}', '{_LOWER}') else text end as other from summed
+),
+hashed as (
+  select doc_id, coalesce('1' || source, '0') as tree, sha256({" || ".join(map(_written, LEAF))}) as leaf,
+    sha256({" || ".join(_written("other" if name == "text" else name) for name in LEAF)}) as claim
+  from claims
+),
+placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf, claim) - 1 as pos, count(*) over (partition by tree) as n from hashed
+),
+{_climb("a", "select tree, pos, n, leaf as hash from placed", _LEVELS)},
+subroots as ({" union all ".join(f"select tree, hash from a{k} where n = 1" for k in range(_LEVELS + 1))}),
+{_climb("b", "select '' as tree, row_number() over (order by tree) - 1 as pos, count(*) over () as n, hash, tree as source from subroots", _CROWN)},
+tops as ({" union all ".join(f"select hash as root from b{k} where n = 1" for k in range(_CROWN + 1))}),
+a_siblings as ({_siblings("a", _LEVELS)}),
+b_siblings as ({_siblings("b", _CROWN)}),
+start as (select doc_id, leaf, tree, pos, claim as node, '' as proof from placed){_fold("f", "start", "a", _LEVELS)},
+crowned as (
+  select doc_id, leaf, b0.hash as subroot, '' as tree, b0.pos, node, proof from f{_LEVELS} join b0 on b0.source = f{_LEVELS}.tree
+){_fold("g", "crowned", "b", _CROWN)}
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, node as folded_root, node = root as verified from g{_CROWN}, tops
+"""

@@ -9,6 +9,7 @@ from docledger.llm import oracles
 from docledger.llm.common import table
 from docledger.llm.decontaminate import find_contamination
 from docledger.llm.extract import extract_text
+from docledger.llm.manifest import lowered_where_chosen, manifest, verify
 from docledger.llm.mixing import mix_sources
 from docledger.llm.pii import find_personal_data
 from docledger.llm.quality_model import fit_quality, held_out, score_quality
@@ -68,11 +69,17 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return verify(manifest(docs, claims={"text": lowered_where_chosen(F.col("doc_id"), F.col("text"))}))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_quality_rules, op2_merkle_fixity, op3_simhash_near_dedup, op4_mix_sources, op5_extract_text, op6_url_filter,
         op7_quality_score, op8_decontaminate, op9_personal_data, op10_rendezvous_shards,
+        op12_merkle_manifest,
     )
 }
 
@@ -82,4 +89,5 @@ ORACLES = {
     "op4_mix_sources": oracles.MIX_SOURCES,
     "op8_decontaminate": oracles.DECONTAMINATE,
     "op10_rendezvous_shards": oracles.SHARDS,
+    "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
