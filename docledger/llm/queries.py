@@ -16,8 +16,11 @@ from docledger.llm.quality_model import fit_quality, held_out, score_quality
 from docledger.llm.quality_rules import COUNTS, apply_rules
 from docledger.llm.sharding import shard_documents
 from docledger.llm.simhash import near_duplicates
+from docledger.llm.toxicity import fit_toxicity, score_toxicity
+from docledger.llm.toxicity import held_out as toxicity_held_out
 from docledger.llm.urls import fit_urls, host_of, judge_urls, label_url
 from docledger.llm.warc import archive, audit, damaged_copy, file_count
+from docledger.llm.whitening import whiten
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,17 +72,27 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return verify(manifest(docs, claims={"text": lowered_where_chosen(F.col("doc_id"), F.col("text"))}))
 
 
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_quality_rules, op2_merkle_fixity, op3_simhash_near_dedup, op4_mix_sources, op5_extract_text, op6_url_filter,
         op7_quality_score, op8_decontaminate, op9_personal_data, op10_rendezvous_shards,
-        op12_merkle_manifest,
+        op11_toxicity, op12_merkle_manifest, op13_whiten_embeddings,
     )
 }
 
