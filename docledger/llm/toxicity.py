@@ -25,7 +25,7 @@ from docledger.session import cut_lineage
 #: Labelled rows the weights are fitted to, at most (in expectation); they are drawn by hash.
 SAMPLE_ROWS = 20_000
 #: Words and word beginnings that may carry a weight, and how sure their tie to the label must be (a G² statistic).
-TERMS, LEAST_G2 = 4096, 20.0
+TERMS, LEAST_G2 = 4096, 15.0
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Letters of a word's beginning.
 STEM = 5
@@ -220,7 +220,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _fit(rows: list[list[int]], labels: np.ndarray, count: int, *, penalty: float = 0.5, steps: int = 400) -> tuple[np.ndarray, float]:
+def _fit(rows: list[list[int]], labels: np.ndarray, count: int, *, penalty: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on presence by gradient steps of each weight's own length."""
     prior = (labels.sum() + 0.5) / (len(labels) + 1.0)
     weights, base = np.zeros(count), math.log(prior / (1 - prior))
