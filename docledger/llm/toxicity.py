@@ -230,21 +230,21 @@ def _fit(rows: list[list[int]], labels: np.ndarray, count: int, *, penalty: floa
     term = np.array([k for row in rows for k in row], np.int64)
     widest = max(map(len, rows), default=0) + 1
     curve = np.bincount(term, minlength=count) * widest / 4 + penalty  # bounds the loss's second derivative
-    for step in range(steps):
-        chance = 1 / (1 + np.exp(-(base + np.bincount(owner, weights[term], len(rows)))))
+    for _ in range(steps):
+        chance = 1 / (1 + np.exp(-np.clip(base + np.bincount(owner, weights[term], len(rows)), -500, 500)))
         slope = labels - chance
         # rows hold few terms, so their own share of the curvature is the better bound
         bend = np.maximum(np.bincount(term, (chance * (1 - chance))[owner], count) * 2 + penalty, curve / widest / 8)
         weights += 0.5 * (np.bincount(term, slope[owner], count) - penalty * weights) / bend
         base += 0.5 * slope.sum() / max(1e-9, (chance * (1 - chance)).sum() * 2)
-    return weights, base
+    return weights, float(base)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Toxicity:
     """Letter model of all of ``docs``; weights from a hash sample of the labelled rows that are not held out.
 
     Repeated labels of one document count once (the larger), null labels and ids not at all. Terms
-    tied to the label are chosen by a G² statistic on the sample's documents, at most ``TERMS``; the
+    that toxic documents hold more often are chosen by a G² statistic, at most ``TERMS``; the
     driver sees those terms and which sampled row holds which. Without labels the prior is the score.
     """
     costs = letter_costs(letter_counts(docs, text=text))
@@ -278,7 +278,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", samp
     whole = float(max(size, 1))
     g2 = cell(a, n * hit / whole) + cell(n - a, n * (size - hit) / whole) + cell(hit - a, rest * hit / whole) + cell(
         (size - hit) - (n - a), rest * (size - hit) / whole)
-    chosen = [row["term"] for row in by_term.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS).collect()]
+    chosen = [row["term"] for row in by_term.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (a * whole > n * hit)).orderBy(F.desc("g2"), "term").limit(TERMS).collect()]
     number = {term: k for k, term in enumerate(chosen)}
     names = docs.sparkSession.sparkContext.broadcast(number)
 
