@@ -7,6 +7,7 @@ on columns that may hold non-ASCII text.
 
 from __future__ import annotations
 
+import functools
 import sys
 import unicodedata
 
@@ -27,6 +28,7 @@ NOT_IDENTIFIER = "[^0-9a-zA-ZÀ-ỹ]+"
 EDGE = " .-'\""
 
 
+@functools.cache
 def _accent_table() -> tuple[str, str]:
     """Precomposed letters -> base letter, derived from the decompositions of all code points."""
     plain = {"đ": "d"}
@@ -39,7 +41,11 @@ def _accent_table() -> tuple[str, str]:
     return "".join(plain), "".join(plain.values())
 
 
-_ACCENTED, _PLAIN = _accent_table()
+# Ranges of letters and marks in common use: composition changes none of them, and the case fold of none
+# but sharp s is more than its lower case.
+COMMON = r"\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{1EA0}-\x{1EF9}\x{2013}-\x{2014}\x{2018}-\x{201E}\x{400}-\x{45F}"
+#: A character out of ASCII and out of those ranges; ASCII is passed over by the first class alone.
+UNCOMMON = rf"[^\x00-\x7F](?<![{COMMON}])"
 
 
 @F.pandas_udf(StringType())
@@ -48,8 +54,8 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def compose(text: Column) -> Column:
-    """NFKC; ASCII rows cross to Python as nulls and come back from the JVM side."""
-    foreign = text.rlike(r"[^\x00-\x7F]")
+    """NFKC; rows without a character it could change cross to Python as nulls and come back from the JVM side."""
+    foreign = text.rlike(UNCOMMON)
     return F.when(foreign, _nfkc(F.when(foreign, text))).otherwise(text)
 
 
@@ -62,6 +68,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+@functools.cache
 def _folds() -> tuple[dict[str, str], dict[str, str]]:
     """Lower-case letters whose full case fold differs: those that stay one letter, and those that grow."""
     one: dict[str, str] = {}
@@ -73,15 +80,22 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
     return one, more
 
 
-_ONE, _MORE = _folds()
+def _fold_common(text: Column) -> Column:
+    """Case fold of texts of common characters alone."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+def _fold_any(text: Column) -> Column:
+    """Full case folding letter by letter: lower case, then the folds that lower case alone leaves out."""
+    one, more = _folds()
+    swapped = F.translate(F.lower(text), "".join(one), "".join(one.values()))
+    grown = F.create_map(*(F.lit(c) for pair in more.items() for c in pair))
+    return F.array_join(F.transform(F.split(swapped, ""), lambda c: F.coalesce(F.try_element_at(grown, c), c)), "")
 
 
 def casefold(text: Column) -> Column:
-    """Full case folding: lower case, then the folds that lower case alone leaves out (sharp s, final sigma, ...)."""
-    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
-    grown = F.create_map(*(F.lit(c) for pair in _MORE.items() for c in pair))
-    spelled = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(grown, c), c)), "")
-    return F.when(low.rlike(f"[{''.join(_MORE)}]"), spelled).otherwise(low)
+    """Full case folding; only texts with an uncommon character are folded letter by letter."""
+    return F.when(text.rlike(UNCOMMON), _fold_any(text)).otherwise(_fold_common(text))
 
 
 def plain_punctuation(text: Column) -> Column:
@@ -92,15 +106,22 @@ def plain_punctuation(text: Column) -> Column:
 
 
 def normalize_text(text: Column, *, composed: bool = False) -> Column:
-    """Comparable text: composed, ASCII punctuation, folded case, single spaces, bare ends."""
-    source = text if composed else compose(text)
-    spaced = F.regexp_replace(casefold(plain_punctuation(source)), SEPARATORS, " ")
-    return F.btrim(spaced, F.lit(EDGE))
+    """Comparable text: composed, ASCII punctuation, folded case, single spaces, bare ends.
+
+    Texts of common characters need no composition and take the short way.
+    """
+    def finish(folded: Column) -> Column:
+        return F.btrim(F.regexp_replace(folded, SEPARATORS, " "), F.lit(EDGE))
+
+    foreign = text.rlike(UNCOMMON)
+    source = text if composed else _nfkc(F.when(foreign, text))
+    # composing may yield common characters only, so the long way folds whatever it gets
+    return F.when(foreign, finish(_fold_any(plain_punctuation(source)))).otherwise(finish(_fold_common(plain_punctuation(text))))
 
 
 def fold_accents(normalized: Column) -> Column:
     """Base letters of an already normalised text."""
-    return F.regexp_replace(F.translate(normalized, _ACCENTED, _PLAIN), r"\p{M}+", "")
+    return F.regexp_replace(F.translate(normalized, *_accent_table()), r"\p{M}+", "")
 
 
 def fold_text(text: Column, *, composed: bool = False) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docledger.operators import geometry as G
 from docledger.sources import stages
-from docledger.workload.fixtures import fixture, oracle
+from docledger.workload.fixtures import fixture, oracle, table
 from docledger.workload.registry import query
 
 
@@ -175,7 +175,7 @@ def geo10(spark, sf):
 # ---------------------------------------------------------------- stage annotations
 def annotations(spark, sf):
     """Whole documents as nested annotation records, built inside the row (no grouping)."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     words = docs.select(
         F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("doc_key"),
         F.expr(r"filter(split(text, '[ \\n\\t\\r]+'), x -> x <> '')").alias("words"))

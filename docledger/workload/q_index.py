@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docledger.operators import checks, index, splits
 from docledger.operators.identity import document_id
 from docledger.sources import stages
-from docledger.workload.fixtures import fixture, oracle
+from docledger.workload.fixtures import fixture, oracle, table
 from docledger.workload.q_geometry import annotations
 from docledger.workload.registry import query
 
@@ -108,12 +108,12 @@ def ix6(spark, sf):
   with h as (select doc_id, cast('0x' || substring(sha256('42:' || cast(doc_id as string)), 1, 16) as ubigint) as v from documents)
   select doc_id, case when v < 14757395258967641292 then 'train' when v < 16602069666338596453 then 'validation' else 'test' end as split from h""")
 def sp1(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", splits.hash_split(F.col("doc_id").cast("string"), 42).alias("split"))
 
 
 def _text_ids(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("document_id"))
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"))
 
 
 _SPLIT = """ranked as (select document_id, row_number() over (order by sha256('{"document_id":"' || document_id || '","seed":42}')) as position, count(*) over () as n

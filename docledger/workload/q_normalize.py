@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docledger.functions import text as T
 from docledger.functions import values as V
 from docledger.operators import identity, normalize
-from docledger.workload.fixtures import Dialect, fixture, oracle
+from docledger.workload.fixtures import Dialect, fixture, oracle, table
 from docledger.workload.registry import query
 
 _NUM = r"regexp_replace(text, '[^0-9,.+-]', '', 'g')"
@@ -82,20 +82,20 @@ _N4_TEXT = _N4.format(c=_PUNCT.format(c="text"))
 
 @query("n4_normalize_text", f"select doc_id, sha256({_N4_TEXT}) as digest from documents")
 def n4(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.sha2(T.normalize_text(F.col("text")), 256).alias("digest"))
 
 
 @query("n5_fold_text", f"select doc_id, sha256(replace(strip_accents({_N4_TEXT}), 'đ', 'd')) as digest from documents")
 def n5(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.sha2(T.fold_text(F.col("text")), 256).alias("digest"))
 
 
 @query("n6_normalize_identifier",
        f"select doc_id, sha256(regexp_replace({_N4_TEXT}, '[^0-9a-zA-ZÀ-ỹ]+', '', 'g')) as digest from documents")
 def n6(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.sha2(T.normalize_identifier(F.col("text")), 256).alias("digest"))
 
 
@@ -111,7 +111,7 @@ _PRODUCT = """select p_partkey, case p_partkey % 5 when 0 then p_name || ' ' ||
    case when p_partkey % 5 in (1, 2) then p_brand end as manufacturer,
    case p_partkey % 5 when 0 then p_brand when 2 then p_type end as country_of_manufacture from part""")
 def n8(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
+    part = table(spark, sf, "part")
     described = spark.sql(_PRODUCT.replace("from part", "from {part}"), part=part)
     return normalize.describe_products(described, "description").drop("description")
 

@@ -10,7 +10,7 @@ from docledger.operators import rollup as U
 from docledger.operators import scoring as S
 from docledger.operators import training as T
 from docledger.operators.splits import hash_split
-from docledger.workload.fixtures import fixture, oracle
+from docledger.workload.fixtures import fixture, oracle, table
 from docledger.workload.q_geometry import annotations
 from docledger.workload.registry import query
 
@@ -30,7 +30,7 @@ def _sides(spark, sf):
   select event_type || '_' || cast(user_id % 10 as string) as run_id, 'plain' as metric, cast(sum(cast(round(value * 100) as bigint)) as bigint) / 100 as value, cast(null as string) as flag from events group by 1
   union all select event_type || '_' || cast(user_id % 10 as string), 'recorded', count(*) / 2, 'true' from events group by 1"""))
 def cp1(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
+    events = table(spark, sf, "events")
     payload = F.concat(
         F.lit('{"metrics":{"plain":'), (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100).cast("string"), F.lit(',"ok":true,"text":"7","recorded":{"value":'),
         (F.count(F.lit(1)) / 2).cast("string"), F.lit(',"lower_is_better":true},"absent":{"value":null}}}'))
@@ -68,7 +68,7 @@ def cp5(spark, sf):
 @query("cp6_compare_timings", oracle(f"""with t as (select 'u' || cast(user_id % 20 as string) || case when user_id % 2 = 0 then '_time' else '_count' end as metric, cast(sum(cast(round(value * 100) as bigint)) filter (ts < timestamp '2024-01-16 00:00:00') as bigint) / 100 as b, cast(sum(cast(round(value * 100) as bigint)) filter (ts >= timestamp '2024-01-16 00:00:00') as bigint) / 100 as a from events group by 1),
   k as (select *, metric like '%_time' as lower_better from t) select metric, b as before, a as after, cast(lower_better as int) as lower_is_better, {_CLASS} from k"""))
 def cp6(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("metric", F.expr("'u' || cast(user_id % 20 as string) || case when user_id % 2 = 0 then '_time' else '_count' end"))
+    events = table(spark, sf, "events").withColumn("metric", F.expr("'u' || cast(user_id % 20 as string) || case when user_id % 2 = 0 then '_time' else '_count' end"))
     value = (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100).alias("value")
     early = F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp")
     compared = C.compare_metrics(events.where(early).groupBy("metric").agg(value), events.where(~early).groupBy("metric").agg(value))
@@ -83,7 +83,7 @@ def cp6(spark, sf):
   select attribute, cast(strict as int) as strict, before, after, case when before is not distinct from after then 'equal' when strict then 'refused' else 'different' end as verdict from r"""))
 def cp7(spark, sf):
     side = F.when(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp"), "before").otherwise("after")
-    seen = spark.read.parquet(f"{sf}/events.parquet").groupBy(side.alias("side")).agg(
+    seen = table(spark, sf, "events").groupBy(side.alias("side")).agg(
         F.count_distinct("user_id").cast("string").alias("users"), F.count_distinct("event_type").cast("string").alias("kinds"))
     none = F.lit(None).cast("string")
     given = {"split_manifest_hash": F.col("side"), "test_document_ids": F.col("users"), "schema_version": F.col("kinds"),
@@ -189,7 +189,7 @@ def tr2(spark, sf):
 @query("tr3_align_subtokens", oracle("""with t as (select document_id, page_index, tok % 480 as i, 1 + (length(text) - 1) // 4 as pieces from fx_tok)
    select document_id, page_index, cast(2 + sum(pieces) as bigint) as subtokens, cast(2 + sum(pieces) - count(*) as bigint) as ignored, cast(sum(i % 7) as bigint) as first_sum, cast(sum((i % 7) * pieces) as bigint) as all_sum from t group by 1, 2""", "fx_tok"))
 def tr3(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("cast(doc_id as string) as document_id", r"filter(split(text, '[ \\n\\t\\r]+'), x -> x <> '') as words")
+    docs = table(spark, sf, "documents").selectExpr("cast(doc_id as string) as document_id", r"filter(split(text, '[ \\n\\t\\r]+'), x -> x <> '') as words")
     pages = docs.where("size(words) > 0").selectExpr("document_id", "posexplode(transform(sequence(0, cast(ceil(size(words) / 480) as int) - 1), p -> slice(words, p * 480 + 1, 480))) as (page_index, words)")
     encoded = pages.selectExpr(
         "document_id", "cast(page_index as bigint) as page_index",
@@ -206,7 +206,7 @@ def tr3(spark, sf):
 
 
 def _features(spark, sf):
-    emb = spark.read.parquet(f"{sf}/embeddings.parquet")
+    emb = table(spark, sf, "embeddings")
     return emb.withColumn("split", hash_split(F.col("vec_id").cast("string"), 42))
 
 
@@ -243,7 +243,7 @@ def _norm_model():
      row_number() over (partition by vec_id // 3 order by vec_id) as r from embeddings)
    select 'doc' || cast(vec_id // 3 as string) as document_id, 0 as page_index, cast(vec_id // 3 as string) as region_id, vec_id as subtoken, l as label, 'probe' as model_name, 'r1' as model_revision from e where r = 1 and l <> 'O'""")
 def sc1(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr(
+    rows = table(spark, sf, "embeddings").selectExpr(
         "concat('doc', cast(vec_id div 3 as string)) as document_id", "0 as page_index", "cast(vec_id div 3 as string) as region_id", "vec_id as subtoken", "embedding")
     scored = S.score_table(rows, _norm_model, "document_id string, page_index int, region_id string, subtoken bigint, logits array<double>", model_name="probe", model_revision="r1")
     return S.label_entities(scored, ["O", "B-UNIT", "I-UNIT"]).drop("confidence")
