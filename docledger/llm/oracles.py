@@ -161,15 +161,16 @@ roots as (
 ),
 pairs as (
   select coalesce(a.file, b.file) as file, coalesce(a.page_id, b.page_id) as page_id, coalesce(a.url, b.url) as url,
-    a.digest as ours, b.digest as theirs, coalesce(a.place, b.place) as place, coalesce(a.length, b.length) as length
+    a.digest as ours, b.digest as theirs, coalesce(a.place, b.place) as place, coalesce(a.length, b.length) as length,
+    coalesce(a.copies, b.copies) as copies
   from a full join b on a.file = b.file and a.page_id is not distinct from b.page_id and a.url is not distinct from b.url
 )
 select 'file' as kind, file, case when other_hash is null then 'missing' when hash is null then 'extra' when hash <> other_hash then 'damaged' else 'intact' end as status,
-  null::bigint as page_id, null::varchar as url, 0::bigint as "offset", bytes::bigint as length, hash, other_hash
+  null::bigint as page_id, null::varchar as url, 0::bigint as "offset", bytes::bigint as length, hash, other_hash, null::bigint as copies
 from roots
 union all
 select 'record', file, case when theirs is null then 'missing' when ours is null then 'extra' else 'changed' end, page_id, url,
-  place::bigint, length::bigint, ours, theirs
+  place::bigint, length::bigint, ours, theirs, copies::bigint
 from pairs where ours is distinct from theirs
 """
 

@@ -18,7 +18,7 @@ from docledger.llm.sharding import shard_documents
 from docledger.llm.simhash import near_duplicates
 from docledger.llm.toxicity import fit_toxicity, score_toxicity
 from docledger.llm.toxicity import held_out as toxicity_held_out
-from docledger.llm.urls import fit_urls, host_of, judge_urls, label_url
+from docledger.llm.urls import fit_urls, host_of, judge_urls, label_url, path_of
 from docledger.llm.warc import archive, audit, damaged_copy, file_count
 from docledger.llm.whitening import whiten
 
@@ -30,7 +30,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     files = file_count(pages)
-    return audit(archive(pages, files), archive(damaged_copy(pages), files)).drop("copies")
+    return audit(archive(pages, files), archive(damaged_copy(pages), files))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op5_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    model = fit_urls(pages.select("url", label_url(host_of(F.col("url"))).alias("label")))
+    model = fit_urls(pages.select("url", label_url(host_of(F.col("url")), path_of(F.col("url"))).alias("label")))
     return judge_urls(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 

@@ -48,29 +48,32 @@ def compile_rules(rules: tuple[tuple[str, str], ...], host: Column, path: Column
     return rule, verdict
 
 
-def label_url(host: Column) -> Column:
-    """1 if a word of the host is an unwanted one; words are cut at dots, hyphens and digits."""
-    return F.arrays_overlap(F.split(host, "[^a-z]+"), F.array(*map(F.lit, UNWANTED))).cast("int")
+def label_url(host: Column, path: Column | None = None) -> Column:
+    """1 if a word of the host, or a whole directory of the path, is an unwanted one; words are cut at dots, hyphens and digits."""
+    unwanted = F.array(*map(F.lit, UNWANTED))
+    named = F.arrays_overlap(F.split(host, "[^a-z]+"), unwanted)
+    if path is not None:
+        named = named | F.arrays_overlap(F.split(F.translate(path, UPPER, LOWER), "/"), unwanted)
+    return named.cast("int")
 
 
-#: Lexical features, in the order of the matrix; the last two come from all labelled URLs.
+#: Lexical features, in the order of the matrix; the last two come from the labelled URLs of other sites.
 FEATURES = (
     "url_length", "host_length", "path_length", "host_parts", "depth", "longest_part", "hyphens", "host_digit_share",
     "digit_share", "host_entropy", "entropy", "parameters", "query_length", "fragment", "secure", "vowel_share",
-    "site_rate", "suffix_rate",
+    "host_words", "shortest_host_word", "path_words", "consonant_run", "suffix_rate", "word_rate",
 )
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 _PARTS = re.compile(r"^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", re.DOTALL)
-#: Labelled URLs of average rate a suffix is given beside its own.
-_PRIOR = 20.0
-#: A sampled URL is described by the labels of the other folds.
-_FOLDS = 5
+#: Sites of average rate that a suffix and a word are given beside their own.
+_SUFFIX_PRIOR, _WORD_PRIOR = 5.0, 0.5
+_WORD, _CONSONANTS = re.compile("[a-z]+"), re.compile("[b-df-hj-np-tv-z]+")
 
 
 class UrlModel(NamedTuple):
     forest: Forest
-    rates: DataFrame  #: part, rate: share of unwanted labels under every labelled host suffix, smoothed
-    average: float
+    sites: DataFrame  #: _site, bad: share of unwanted URLs of every labelled site
+    average: float  #: of the sites
 
 
 def _entropy(text: str) -> float:
@@ -91,68 +94,63 @@ def _suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def _smoothed(bad: Column, seen: Column, average: float) -> Column:
-    return (bad + _PRIOR * average) / (seen + _PRIOR)
-
-
 def _split(url: str) -> tuple[str, str, str, str, str]:
     match = _PARTS.match(url)
     scheme, host, path, query, fragment = match.groups("") if match else ("", "", url, "", "")
     return scheme, host.translate(_TO_LOWER), path, query, fragment
 
 
-def lexical(url: str, site_rate: float, suffix_rate: float) -> list[float]:
+def lexical(url: str, suffix_rate: float, word_rate: float) -> list[float]:
     scheme, host, path, query, fragment = _split(url)
     parts = host.split(".")
+    name = host[: -len(".".join(parts[-2:]))] if len(parts) > 2 else host
+    words = _WORD.findall(name)
     return [
         len(url), len(host), len(path), len(parts), len([part for part in path.split("/") if part]), max(map(len, parts)),
         host.count("-"), _share(host, "0123456789"), _share(url, "0123456789"), _entropy(host), _entropy(url),
         query.count("=") + query.count("&"), len(query), bool(fragment), scheme == "https", _share(host, "aeiou"),
-        site_rate, suffix_rate,
+        len(words), min(map(len, words), default=0), len(_WORD.findall(path.lower())), max(map(len, _CONSONANTS.findall(name)), default=0), suffix_rate, word_rate,
     ]
 
 
+def _rates(sites: DataFrame, known: DataFrame, average: float) -> DataFrame:
+    """_site, _suffix_rate, _word_rate for every row of ``sites`` (_site): unwanted shares of other sites.
+
+    The suffix is the host's last two parts; of the words before it the worst counts. The site's own
+    labels are left out, so one that was labelled is judged like one never seen. A site has a handful
+    of parts; the parts' totals have one row each.
+    """
+    words = F.filter(F.split(F.regexp_replace("_site", r"\.?[^.]*\.[^.]*$", ""), "[^a-z]+"), lambda word: F.length(word) > 1)
+    parts = F.concat(F.array(F.concat(F.lit("."), _suffix(F.col("_site")))), F.array_distinct(words))
+    asked = sites.join(known, "_site", "left").select("_site", "bad", F.explode(parts).alias("_part"))
+    totals = known.select("bad", F.explode(parts).alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("all_seen"), F.sum("bad").alias("all_bad"))
+    is_suffix = F.startswith("_part", F.lit("."))
+    prior = F.when(is_suffix, _SUFFIX_PRIOR).otherwise(_WORD_PRIOR)
+    others = F.coalesce("all_bad", F.lit(0.0)) - F.coalesce("bad", F.lit(0.0))
+    seen = F.coalesce("all_seen", F.lit(0)) - F.col("bad").isNotNull().cast("int")
+    rated = asked.join(totals, "_part", "left").withColumn("_rate", (others + prior * average) / (seen + prior))
+    return rated.groupBy("_site").agg(
+        F.max(F.when(is_suffix, F.col("_rate"))).alias("_suffix_rate"),
+        F.coalesce(F.max(F.when(~is_suffix, F.col("_rate"))), F.lit(average)).alias("_word_rate"))
+
+
 def fit_urls(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
-    """Model from (url, label) rows: rates of all distinct URLs, and trees fitted to a hash sample of ``sample_rows``.
+    """Model from (url, label) rows: shares of all sites, and trees fitted to a hash sample of ``sample_rows`` distinct URLs.
 
-    The rates stay a table; only the sample reaches the driver, each URL with the rates of the other folds.
+    The shares stay a table; only the sample reaches the driver. Every URL, sampled or judged, is
+    described by the other sites of its suffix and words, so the trees cannot learn hosts by heart.
     """
     usable = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).groupBy("url").agg(F.max("label").alias("label"))
-    total, unwanted = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    average = unwanted / max(1, total)
-    host = host_of(F.col("url"))
-    folded = usable.select(
-        "url", "label", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(_FOLDS)).alias("fold"),
-        _site(host).alias("site"), _suffix(host).alias("suffix"),
-    )
-    counts = cut_lineage(
-        folded.select("label", "fold", F.explode(F.array_distinct(F.array("site", "suffix"))).alias("part"))
-        .groupBy("part", "fold").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("bad"))
-    )
-    sums = counts.groupBy("part").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
-    rates = cut_lineage(sums.select("part", _smoothed(F.col("all_bad"), F.col("all_seen"), average).alias("rate")))
-
-    place = F.pmod(F.xxhash64("url"), F.lit(1_000_000))
-    sample = folded.where(place < int(1_000_000 * min(1.0, sample_rows / max(1, total))))
-    own = F.when(F.col("level") == 0, F.col("site")).otherwise(F.col("suffix"))
-    others = _smoothed(F.col("all_bad") - F.col("bad"), F.col("all_seen") - F.col("seen"), average)
-    rows = (
-        sample.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("part", own)
-        .join(counts, ["part", "fold"]).join(sums, "part").groupBy("url", "label")
-        .agg(F.max(F.when(F.col("level") == 0, others)).alias("site_rate"), F.max(F.when(F.col("level") == 1, others)).alias("suffix_rate"))
-        .orderBy("url").collect()
-    )
-    matrix = np.array([lexical(row.url, row.site_rate, row.suffix_rate) for row in rows], float).reshape(len(rows), len(FEATURES))
-    return UrlModel(fit_forest(matrix, np.array([row.label for row in rows], float), trees=40), rates, average)
-
-
-def _site_rates(hosts: DataFrame, model: UrlModel) -> DataFrame:
-    """_site, _site_rate, _suffix_rate for every site of ``hosts``, counted down to sites before the joins."""
-    sites = hosts.select(_site(F.col("host")).alias("_site")).distinct().withColumn("_suffix", _suffix(F.col("_site")))
-    for key in ("_site", "_suffix"):
-        rated = model.rates.select(F.col("part").alias(key), F.col("rate").alias(f"{key}_rate"))
-        sites = sites.join(rated, key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(model.average)))
-    return sites.drop("_suffix")
+    placed = usable.withColumn("_site", _site(host_of(F.col("url"))))
+    counts = cut_lineage(placed.groupBy("_site").agg(F.count(F.lit(1)).alias("seen"), F.avg("label").alias("bad")))
+    total, average = counts.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.avg("bad"), F.lit(0.0))).first()
+    sites = counts.select("_site", "bad")
+    place = F.shiftrightunsigned(F.xxhash64("url"), 4)
+    sample = placed.where(place < int(2**60 * min(1.0, sample_rows / max(1, total))))
+    rated = sample.join(_rates(sites.select("_site"), sites, average), "_site").select("url", "label", "_suffix_rate", "_word_rate")
+    rows = rated.orderBy("url").collect()
+    matrix = np.array([lexical(row.url, row._suffix_rate, row._word_rate) for row in rows], float).reshape(len(rows), len(FEATURES))
+    return UrlModel(fit_forest(matrix, np.array([row.label for row in rows], float), trees=40, depth=2), sites, average)
 
 
 def judge_urls(
@@ -161,21 +159,22 @@ def judge_urls(
     """``pages`` with host, path, rule, score (chance that the URL is unwanted) and verdict.
 
     A null URL, or one without ``://``, has an empty host and path and fits no rule; the model then
-    scores its text. Rows are joined to the rates of their site, those of an unlabelled one are average;
-    columns named like a result are replaced.
+    scores its text. Rows are joined to the rates of their site's suffix and words, average where no
+    other site has them; equal scores get equal verdicts. Columns named like a result are replaced.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model.forest)
 
     @F.arrow_udf(T.DoubleType())
-    def unwanted(urls: pa.Array, site_rates: pa.Array, suffix_rates: pa.Array) -> pa.Array:
-        parts = zip(urls.to_pylist(), site_rates.to_pylist(), suffix_rates.to_pylist())
+    def unwanted(urls: pa.Array, suffix_rates: pa.Array, word_rates: pa.Array) -> pa.Array:
+        parts = zip(urls.to_pylist(), suffix_rates.to_pylist(), word_rates.to_pylist(), strict=True)
         rows = np.array([lexical(value or "", *rates) for value, *rates in parts], float)
         return pa.array(shared.value.score(rows.reshape(-1, len(FEATURES))), pa.float64())
 
     split = pages.withColumns({"_url": F.col(url), "host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    rated = split.withColumn("_site", _site(F.col("host"))).join(_site_rates(split, model), "_site", "left")
+    sites = split.select(_site(F.col("host")).alias("_site")).distinct()  # counted down before the joins
+    rated = split.withColumn("_site", _site(F.col("host"))).join(_rates(sites, model.sites, model.average), "_site", "left")
     rule, says = compile_rules(rules, F.col("host"), F.col("path"))
-    scored = rated.withColumns({"rule": rule, "_says": says, "score": unwanted("_url", "_site_rate", "_suffix_rate")})
+    scored = rated.withColumns({"rule": rule, "_says": says, "score": unwanted("_url", "_suffix_rate", "_word_rate")})
     return scored.withColumn(
         "verdict", F.coalesce("_says", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    ).drop("_says", "_url", "_site", "_site_rate", "_suffix_rate")
+    ).drop("_says", "_url", "_site", "_suffix_rate", "_word_rate")
