@@ -67,6 +67,8 @@ _TO_LOWER = str.maketrans(UPPER, LOWER)
 _PARTS = re.compile(r"^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", re.DOTALL)
 #: Sites of average rate that a suffix and a word are given beside their own.
 _SUFFIX_PRIOR, _WORD_PRIOR = 5.0, 0.5
+#: Folds of sites; a site is described by the labels of the other ones.
+_FOLDS = 5
 _WORD, _CONSONANTS = re.compile("[a-z]+"), re.compile("[b-df-hj-np-tv-z]+")
 
 
@@ -114,21 +116,22 @@ def lexical(url: str, suffix_rate: float, word_rate: float) -> list[float]:
 
 
 def _rates(sites: DataFrame, known: DataFrame, average: float) -> DataFrame:
-    """_site, _suffix_rate, _word_rate for every row of ``sites`` (_site): unwanted shares of other sites.
+    """_site, _suffix_rate, _word_rate for every row of ``sites`` (_site): unwanted shares of sites in the other folds.
 
-    The suffix is the host's last two parts; of the words before it the worst counts. The site's own
-    labels are left out, so one that was labelled is judged like one never seen. A site has a handful
-    of parts; the parts' totals have one row each.
+    The suffix is the host's last two parts; of the words before it the worst counts. Sites fall into
+    folds by hash, and a site's own fold is left out: sites of one fold and part have the same rate,
+    so it tells nothing about a site's own label, and a labelled site is judged like one never seen.
+    A site has a handful of parts; the parts' totals have one row a fold.
     """
     words = F.filter(F.split(F.regexp_replace("_site", r"\.?[^.]*\.[^.]*$", ""), "[^a-z]+"), lambda word: F.length(word) > 1)
-    parts = F.concat(F.array(F.concat(F.lit("."), _suffix(F.col("_site")))), F.array_distinct(words))
-    asked = sites.join(known, "_site", "left").select("_site", "bad", F.explode(parts).alias("_part"))
-    totals = known.select("bad", F.explode(parts).alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("all_seen"), F.sum("bad").alias("all_bad"))
+    parts = F.explode(F.concat(F.array(F.concat(F.lit("."), _suffix(F.col("_site")))), F.array_distinct(words))).alias("_part")
+    fold = F.pmod(F.xxhash64("_site", F.lit("fold")), F.lit(_FOLDS)).alias("_fold")
+    totals = known.select("bad", fold, parts).groupBy("_part", "_fold").agg(F.count(F.lit(1)).alias("seen"), F.sum("bad").alias("bad"))
+    whole = totals.groupBy("_part").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
+    joined = sites.select("_site", fold, parts).join(totals, ["_part", "_fold"], "left").join(whole, "_part", "left").na.fill(0)
     is_suffix = F.startswith("_part", F.lit("."))
     prior = F.when(is_suffix, _SUFFIX_PRIOR).otherwise(_WORD_PRIOR)
-    others = F.coalesce("all_bad", F.lit(0.0)) - F.coalesce("bad", F.lit(0.0))
-    seen = F.coalesce("all_seen", F.lit(0)) - F.col("bad").isNotNull().cast("int")
-    rated = asked.join(totals, "_part", "left").withColumn("_rate", (others + prior * average) / (seen + prior))
+    rated = joined.withColumn("_rate", (F.col("all_bad") - F.col("bad") + prior * average) / (F.col("all_seen") - F.col("seen") + prior))
     return rated.groupBy("_site").agg(
         F.max(F.when(is_suffix, F.col("_rate"))).alias("_suffix_rate"),
         F.coalesce(F.max(F.when(~is_suffix, F.col("_rate"))), F.lit(average)).alias("_word_rate"))
@@ -138,7 +141,7 @@ def fit_urls(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> UrlModel
     """Model from (url, label) rows: shares of all sites, and trees fitted to a hash sample of ``sample_rows`` distinct URLs.
 
     The shares stay a table; only the sample reaches the driver. Every URL, sampled or judged, is
-    described by the other sites of its suffix and words, so the trees cannot learn hosts by heart.
+    described by other sites of its suffix and words, so the trees cannot learn hosts by heart.
     """
     usable = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).groupBy("url").agg(F.max("label").alias("label"))
     placed = usable.withColumn("_site", _site(host_of(F.col("url"))))
