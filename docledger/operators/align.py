@@ -176,30 +176,148 @@ def _span_keys(formed: DataFrame) -> DataFrame:
 SPAN_FACTS = ("region_ids", "center_x", "center_y", "mean_height", "span_width")
 
 
-def _gated(fields: DataFrame, regions: DataFrame) -> tuple[DataFrame, list[str]]:
-    kept = ["document_id", "field_path", "label", "gt_value", "normalization_kind"]
-    return gate_pages(fields.select(*kept, "page_index"), regions).drop("page_index").withColumnRenamed("match_page", "page_index"), kept
+# ---------------------------------------------------------------- near values
+#: Buckets of the gram counts that tell rare grams from frequent ones.
+RARITY_BUCKETS = 4096
+#: The key of values too short on letters to be cut; every region has it.
+_ANY = "*any*"
+
+
+def _tokens(norm: Column) -> Column:
+    """Parts of a normalised text that trimming never touches and no two regions share."""
+    return F.filter(F.split(norm, "[ .'\"-]+"), lambda token: token != "")
+
+
+def _grams(norm: Column) -> Column:
+    """All different pieces of one to three characters inside tokens."""
+    def pieces(token: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(token) - size + 1), lambda at: F.substring(token, at, size))
+
+    def sizes(token: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(token))), lambda size: pieces(token, size))
+
+    return F.array_distinct(F.flatten(F.flatten(F.transform(_tokens(norm), sizes))))
+
+
+def _cut(norm: Column, size: int) -> Column:
+    """Pieces of ``size`` characters that lie side by side inside tokens."""
+    def pieces(token: Column) -> Column:
+        whole = F.floor(F.length(token) / size).cast("int")
+        return F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), lambda k: F.substring(token, k * size + 1, F.lit(size)))).otherwise(F.array())
+
+    return F.flatten(F.transform(_tokens(norm), pieces))
+
+
+def _rarity(singles: DataFrame) -> DataFrame:
+    """One row: how often grams of each hash bucket occur in regions. Only the speed depends on it."""
+    spread_out = singles.select(F.explode(_grams(F.col("_norm"))).alias("_gram")).select(_bucket(F.col("_gram")).alias("_bucket"), F.lit(1).alias("_n"))
+    every = singles.sparkSession.range(RARITY_BUCKETS).select(F.col("id").alias("_bucket"), F.lit(0).alias("_n"))
+    counts = spread_out.groupBy("_bucket").agg(F.sum("_n").alias("_n")).unionByName(every).groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    return counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_n"))), lambda row: row["_n"]).alias("_rarity"))
+
+
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(RARITY_BUCKETS))
+
+
+def _rarest(grams: Column, count: Column | int) -> Column:
+    rated = F.transform(grams, lambda gram: F.struct(F.element_at("_rarity", (_bucket(gram) + 1).cast("int")).alias("n"), gram.alias("gram")))
+    return F.array_distinct(F.transform(F.slice(F.array_sort(rated), 1, count), lambda row: row["gram"]))
+
+
+def _anchor(norm: Column) -> Column:
+    """The rarest of the longest grams: what contains the text contains it."""
+    grams = _grams(norm)
+    longest = F.array_max(F.transform(grams, lambda gram: F.length(gram)))
+    return F.element_at(_rarest(F.filter(grams, lambda gram: F.length(gram) == longest), 1), 1)
+
+
+def _segments(norm: Column) -> Column:
+    """Pieces of a value of which every similar text holds at least one, the rarest ones.
+
+    With similarity r over lengths a and b at most (1 - r)(a + b) characters of either side are out of
+    the matching blocks, and each of them spoils at most one piece. So one piece more than that, for
+    the longest partner the value may have, leaves a whole one.
+    """
+    longest = F.floor(F.length(norm) * (2 / FUZZY_RATIO - 1) + 1e-9)
+    needed = F.floor((1 - FUZZY_RATIO) * (F.length(norm) + longest) + 1e-9).cast("int") + 1
+    found = F.array(F.lit(_ANY))
+    for size in (1, 2, 3):
+        found = F.when(F.size(_cut(norm, size)) >= needed, _rarest(_cut(norm, size), needed)).otherwise(found)
+    return found
+
+
+def _meet(fields: DataFrame, spans_: DataFrame, *keys: str) -> DataFrame:
+    """Fields and spans of one document that share ``keys``; a field that knows its page meets that page only."""
+    own = fields.where("_page is not null").withColumnRenamed("_page", "page_index").join(spans_, ["document_id", "page_index", *keys])
+    return own.unionByName(fields.where("_page is null").drop("_page").join(spans_, ["document_id", *keys]))
+
+
+def _near(fields: DataFrame, formed: DataFrame, fuzzy: bool, max_boxes: int) -> tuple[DataFrame, DataFrame | None]:
+    """(contained, similar): pairs of a field (_g) and a span (_o) on pages they may share.
+
+    Containment: the shorter text's rarest gram must be a gram of the longer one. A field sends its own
+    to the regions of its pages; a region sends its own to the fields, and stays if the field contains
+    all of it, as every region of a span does that lies inside the value. Similarity: the field sends
+    its segments. A hit names a region; only the spans over that region are compared.
+    """
+    values = fields.where(F.length("_norm") >= MIN_SUBSTRING).select("document_id", "_page", "field_path", F.col("_norm").alias("_g"))
+    singles = formed.where("size = 1").select(*PAGE, F.col("start").alias("_at"), "_norm").where("_norm <> ''")
+    rarity = F.broadcast(_rarity(singles))  # one row
+    region_grams = singles.select(*PAGE, "_at", F.explode(F.concat(_grams(F.col("_norm")), F.array(F.lit(_ANY)))).alias("_gram"))
+    rated = values.crossJoin(rarity)
+    sent = rated.select("document_id", "_page", "field_path", "_g", _anchor(F.col("_g")).alias("_gram"))
+    above = _meet(sent, region_grams, "_gram").drop("_gram")
+    region_anchor = singles.crossJoin(rarity).select(*PAGE, "_at", "_norm", _anchor(F.col("_norm")).alias("_gram"))
+    field_grams = values.select("document_id", "_page", "field_path", "_g", F.explode(_grams(F.col("_g"))).alias("_gram"))
+    below = _meet(field_grams, region_anchor, "_gram").where(F.col("_g").contains(F.col("_norm"))).drop("_gram", "_norm")
+    over = formed.select(*PAGE, "start", "size", F.col("_norm").alias("_o"), *SPAN_FACTS)
+
+    def spans_over(hits: DataFrame, least: float, most: float) -> DataFrame:
+        starts = hits.select(*PAGE, "field_path", "_g", "_at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_at") - max_boxes + 1), F.col("_at"))).alias("start"))
+        first = starts.groupBy(*PAGE, "field_path", "_g", "start").agg(F.min("_at").alias("_at"))
+        a, b = F.length("_g"), F.length("_o")
+        return first.join(over, [*PAGE, "start"]).where((F.col("start") + F.col("size") > F.col("_at")) & (b >= a * least) & (b <= a * most))
+
+    a, b = F.length("_g"), F.length("_o")
+    ratio = F.least(a, b) / F.greatest(a, b)
+    inside = (F.col("_o").contains(F.col("_g")) | F.col("_g").contains(F.col("_o"))) & (ratio >= SUBSTRING_RATIO)
+    part = spans_over(above.unionByName(below), SUBSTRING_RATIO - 1e-9, 1 / SUBSTRING_RATIO + 1e-9).where(inside).withColumn("_ratio", ratio)
+    if not fuzzy:
+        return part, None
+    pieces = rated.where(F.length("_g") >= MIN_FUZZY).select("document_id", "_page", "field_path", "_g", F.explode(_segments(F.col("_g"))).alias("_gram"))
+    widest = 2 / FUZZY_RATIO - 1
+    alike = spans_over(_meet(pieces, region_grams, "_gram").drop("_gram"), 1 / widest - 1e-9, widest + 1e-9)
+    return part, alike.where(~inside)
+
+
+def _fields_and_pages(fields: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fields with ``_page`` (null where their own page was not recognised: they may match on any), and the recognised pages."""
+    pages = regions.select("document_id", F.col("page_index").cast("bigint").alias("page_index")).distinct()
+    own = pages.withColumn("_page", F.col("page_index"))
+    kept = fields.select("document_id", "field_path", "label", "gt_value", "normalization_kind", F.col("page_index").cast("bigint").alias("page_index"))
+    return kept.join(own, ["document_id", "page_index"], "left").drop("page_index"), pages
 
 
 def match_cascade(fields: DataFrame, regions: DataFrame, *, max_boxes: int = MAX_BOXES, fuzzy: bool = True) -> DataFrame:
     """Candidate spans of every field with the first rule that fits.
 
     Equality rules are one equi-join on normal-form keys, so cost follows the hits. Containment and
-    similarity need both lengths to be close: fields list the lengths a partner may have and meet
-    spans of exactly those lengths on the same page.
+    similarity meet on grams and segments of the texts (:func:`_near`).
     """
-    gated, _ = _gated(fields, regions)
-    # values and spans are formed once; both feed the equality and the length join
-    keyed_fields = cut_lineage(_field_keys(gated))
-    longest = keyed_fields.groupBy(*PAGE).agg(F.max(F.length("_norm")).alias("_longest"))
+    placed, pages = _fields_and_pages(fields, regions)
+    # values and spans are formed once; all joins read them
+    keyed_fields = cut_lineage(_field_keys(placed))
+    width = F.max(F.length("_norm"))
+    anywhere = keyed_fields.where("_page is null").groupBy("document_id").agg(width.alias("_any"))
+    there = keyed_fields.where("_page is not null").groupBy("document_id", F.col("_page").alias("page_index")).agg(width.alias("_own"))
+    longest = pages.join(anywhere, "document_id", "left").join(there, list(PAGE), "left").select(
+        *PAGE, F.greatest("_any", "_own").alias("_longest")).where("_longest is not null")
     formed = spans(regions, max_boxes=max_boxes, longest=longest).withColumn("_norm", normalize_text(F.col("text"), composed=True))
     formed = cut_lineage(formed.withColumn("_fold", fold_accents(F.col("_norm"))))
-    keyed_spans = formed
-    span_columns = ["document_id", *SPAN, "text", *SPAN_FACTS]
 
-    f = keyed_fields.select("document_id", "page_index", "field_path", "normalization_kind", strip(F.col("gt_value")).alias("_told"), F.explode("_keys").alias("_key"))
-    s = _span_keys(formed)
-    hit = f.join(s, ["document_id", "page_index", "_key"])
+    f = keyed_fields.select("document_id", "_page", "field_path", "normalization_kind", strip(F.col("gt_value")).alias("_told"), F.explode("_keys").alias("_key"))
+    hit = _meet(f, _span_keys(formed), "_key")
     kind = F.substring("_key", 1, 1)
     rank = (
         F.when(F.col("raw") == F.col("_told"), 0).when(collapse(F.col("raw")) == collapse(F.col("_told")), 1)
@@ -211,21 +329,13 @@ def match_cascade(fields: DataFrame, regions: DataFrame, *, max_boxes: int = MAX
         F.when((F.col("_rank") == 5) & (F.col("normalization_kind") == "money"), "money_normalized").otherwise(F.get(names, F.col("_rank"))).alias("_method"),
         F.get(scores, F.col("_rank")).alias("confidence"))
 
-    length = F.length("_norm")
-    lengths = F.sequence(F.ceil(length * SUBSTRING_RATIO).cast("int"), F.floor(length / SUBSTRING_RATIO).cast("int"))
-    near_f = keyed_fields.where(length >= MIN_SUBSTRING).select(
-        "document_id", "page_index", "field_path", F.col("_norm").alias("_g"), F.explode(lengths).alias("_length"))
-    near_s = keyed_spans.select(*span_columns[:-5], *SPAN_FACTS, F.col("_norm").alias("_o"), length.alias("_length"))
-    near = near_f.join(near_s, ["document_id", "page_index", "_length"]).drop("text")
-    shorter, longer = F.least(F.length("_g"), F.length("_o")), F.greatest(F.length("_g"), F.length("_o"))
-    ratio = shorter / longer
-    inside = (F.col("_o").contains(F.col("_g")) | F.col("_g").contains(F.col("_o"))) & (ratio >= SUBSTRING_RATIO)
-    part = near.where(inside).select(
+    inside, alike = _near(keyed_fields, formed, fuzzy, max_boxes)
+    part = inside.select(
         *FIELD, *SPAN, *SPAN_FACTS, F.lit(7).alias("_rank"), F.lit("value_substring").alias("_method"),
-        F.least(F.lit(0.89), 0.72 + ratio * 0.15).alias("confidence"))
+        F.least(F.lit(0.89), 0.72 + F.col("_ratio") * 0.15).alias("confidence"))
     found = equal.unionByName(part)
-    if fuzzy:
-        found = found.unionByName(_similar(near.where(~inside)))
+    if alike is not None:
+        found = found.unionByName(_similar(alike))
     facts = F.struct("_rank", "_method", "confidence", *SPAN_FACTS)
     best = found.groupBy(*FIELD, *SPAN).agg(F.min_by(facts, "_rank").alias("_b"))
     return best.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docledger.operators import align as L
@@ -18,6 +20,15 @@ _SPANS = """runs as (select document_id, page_index, list(struct_pack(i := regio
      list_sum(list_transform(rs[start:start + size - 1], lambda r: (r.y0 + r.y1) / 2)) / size as cy, list_sum(list_transform(rs[start:start + size - 1], lambda r: (r.x0 + r.x1) / 2)) / size as cx from sized)"""
 
 
+def _stepwise(sql: str) -> str:
+    """The same text with every named step kept as a table, so that no step is planned into the next."""
+    return re.sub(r"(?<=[\s,])(\w+) as \((?=\s*select)", r"\1 as materialized (", sql)
+
+
+def _stepwise_oracle(body: str, *names: str) -> str:
+    return _stepwise(oracle(body, *names))
+
+
 def _regions(spark, sf):
     return fixture(spark, sf, "fx_regions")
 
@@ -95,7 +106,22 @@ def al3(spark, sf):
     return _shown(_candidates(spark, sf))
 
 
-@query("al4_fuzzy_match")
+# matching blocks of a pair: the longest common piece, first in g, then in o, and the same on either side of it
+_FUZZY = f"""{_CANDIDATES},
+  unsure as (select * from met where rank is null and least(length(g), length(o)) >= {L.MIN_FUZZY} and 2 * least(length(g), length(o)) >= {L.FUZZY_RATIO} * (length(g) + length(o))
+     and levenshtein(g, o) <= {1 - L.FUZZY_RATIO} * (length(g) + length(o)) + 1e-9),
+  blocks as (
+    select distinct g, o, g as a, o as b, 0 as taken from unsure
+    union all
+    select g, o, p.a, p.b, p.taken from (
+      select g, o, unnest([{{'a': substring(a, 1, m.i - 1), 'b': substring(b, 1, m.j - 1), 'taken': 0}}, {{'a': substring(a, m.i + m.l), 'b': substring(b, m.j + m.l), 'taken': 0}}, {{'a': '', 'b': '', 'taken': m.l}}]) as p
+      from (select g, o, a, b, flatten(list_transform(range(least(length(a), length(b)), 0, -1), lambda l: list_filter(list_transform(range(1, length(a) - l + 2), lambda i:
+          {{'l': l, 'i': i, 'j': strpos(b, substring(a, i, l))}}), lambda x: x.j > 0)))[1] as m from blocks where a <> '' and b <> '') where m is not null)),
+  alike as (select g, o, 2 * sum(taken) / (length(g) + length(o)) as ratio from blocks group by g, o)"""
+
+
+@query("al4_fuzzy_match", oracle(f"""with recursive {_FUZZY} select document_id, field_path, page_index, cast(start as bigint) as start, cast(size as bigint) as size,
+   case when size > 1 then 'multi_box_' else '' end || 'fuzzy' as method, round(ratio, 9) as confidence from unsure join alike using (g, o) where ratio >= {L.FUZZY_RATIO}""", "fx_fields", "fx_regions"))
 def al4(spark, sf):
     return _shown(_candidates(spark, sf, fuzzy=True).where(F.col("method").endswith("fuzzy")))
 
@@ -129,7 +155,7 @@ def al11(spark, sf):
     return L.region_labels(_aligned(spark, sf))
 
 
-@query("al12_alignment_rows", oracle("""with u as (select document_id, field_path, unnest(region_ids) as region_id, unnest(range(len(region_ids))) as i from (select document_id, field_path, [region_id] as region_ids from m1)),
+@query("al12_alignment_rows", _stepwise_oracle("""with u as (select document_id, field_path, unnest(region_ids) as region_id, unnest(range(len(region_ids))) as i from (select document_id, field_path, [region_id] as region_ids from m1)),
    m1 as (select f.document_id, f.field_path, r.region_id from fx_fields f join fx_regions r on r.document_id = f.document_id and r.ord = f.ord)
    select m1.document_id, m1.field_path, nullif(trim(r.text), '') as ocr_text, r.detection_confidence, r.recognition_confidence, f.gt_value, r.page_index + 1 as page from m1 join fx_regions r on r.region_id = m1.region_id join fx_fields f on f.document_id = m1.document_id and f.field_path = m1.field_path""".replace(
     "with u as (select document_id, field_path, unnest(region_ids) as region_id, unnest(range(len(region_ids))) as i from (select document_id, field_path, [region_id] as region_ids from m1)),\n   m1", "with m1"), "fx_fields", "fx_regions"))
@@ -168,7 +194,7 @@ def _report(spark, sf):
     return P.alignment_report(_fields(spark, sf), _aligned(spark, sf))
 
 
-@query("rp1_alignment_report", oracle(f"with {_REPORT} select document_id, field_path, status, ocr_text, page, match_method, match_confidence, candidate_count, cast(ok as int) as training_eligible, coalesce(errors, -1) as character_errors, coalesce(chars, -1) as expected_characters, coalesce(errors / nullif(chars, 0), -1) as character_error_rate from rep", "fx_fields", "fx_align"))
+@query("rp1_alignment_report", _stepwise_oracle(f"with {_REPORT} select document_id, field_path, status, ocr_text, page, match_method, match_confidence, candidate_count, cast(ok as int) as training_eligible, coalesce(errors, -1) as character_errors, coalesce(chars, -1) as expected_characters, coalesce(errors / nullif(chars, 0), -1) as character_error_rate from rep", "fx_fields", "fx_align"))
 def rp1(spark, sf):
     return _report(spark, sf).select("document_id", "field_path", "status", "ocr_text", "page", "match_method", "match_confidence", "candidate_count",
                                      F.col("training_eligible").cast("int").alias("training_eligible"), *[F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ("character_errors", "expected_characters", "character_error_rate")])
@@ -214,7 +240,7 @@ def cl1(spark, sf):
     return K.classify_alignment(_aligned(spark, sf)).select("document_id", "field_path", "decision", "reason")
 
 
-@query("cl2_resolve_conflicts", oracle(f"with {_CLEAN} select document_id, field_path, decision, reason from dec", "fx_align", "fx_align_tokens"))
+@query("cl2_resolve_conflicts", _stepwise_oracle(f"with {_CLEAN} select document_id, field_path, decision, reason from dec", "fx_align", "fx_align_tokens"))
 def cl2(spark, sf):
     return _resolved(spark, sf).select("document_id", "field_path", "decision", "reason")
 
@@ -229,7 +255,7 @@ def cl4(spark, sf):
     return K.region_integrity(_tokens(spark, sf).withColumn("region_id", F.col("token")))
 
 
-@query("cl5_review_queue", oracle(f"with {_CLEAN} select document_id, field_path, reason, match_method from dec where decision = 'REVIEW'", "fx_align", "fx_align_tokens"))
+@query("cl5_review_queue", _stepwise_oracle(f"with {_CLEAN} select document_id, field_path, reason, match_method from dec where decision = 'REVIEW'", "fx_align", "fx_align_tokens"))
 def cl5(spark, sf):
     return K.review_queue(_resolved(spark, sf)).select("document_id", "field_path", "reason", "match_method")
 
