@@ -67,6 +67,8 @@ _TO_LOWER = str.maketrans(UPPER, LOWER)
 _PARTS = re.compile(r"^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", re.DOTALL)
 #: Sites of average rate that a suffix and a word are given beside their own.
 _SUFFIX_PRIOR, _WORD_PRIOR = 5.0, 0.5
+#: Shares of a site's pages that are joined apart.
+_SALTS = 16
 #: Folds of sites; a site is described by the labels of the other ones.
 _FOLDS = 5
 _WORD, _CONSONANTS = re.compile("[a-z]+"), re.compile("[b-df-hj-np-tv-z]+")
@@ -174,10 +176,13 @@ def judge_urls(
         return pa.array(shared.value.score(rows.reshape(-1, len(FEATURES))), pa.float64())
 
     split = pages.withColumns({"_url": F.col(url), "host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    sites = split.select(_site(F.col("host")).alias("_site")).distinct()  # counted down before the joins
-    rated = split.withColumn("_site", _site(F.col("host"))).join(_rates(sites, model.sites, model.average), "_site", "left")
+    placed = split.withColumns({"_site": _site(F.col("host")), "_salt": F.pmod(F.xxhash64("_url"), F.lit(_SALTS))})
+    # pages are counted down before the joins, and a site of many pages is dealt out by salt
+    shares = placed.select("_site", "_salt").distinct()
+    rates = shares.join(_rates(shares.select("_site").distinct(), model.sites, model.average), "_site")
+    rated = placed.join(rates, ["_site", "_salt"], "left")
     rule, says = compile_rules(rules, F.col("host"), F.col("path"))
     scored = rated.withColumns({"rule": rule, "_says": says, "score": unwanted("_url", "_suffix_rate", "_word_rate")})
     return scored.withColumn(
         "verdict", F.coalesce("_says", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    ).drop("_says", "_url", "_site", "_suffix_rate", "_word_rate")
+    ).drop("_says", "_url", "_site", "_salt", "_suffix_rate", "_word_rate")
