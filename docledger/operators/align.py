@@ -247,48 +247,44 @@ def _segments(norm: Column) -> Column:
     return found
 
 
-def _meet(fields: DataFrame, spans_: DataFrame, *keys: str) -> DataFrame:
-    """Fields and spans of one document that share ``keys``; a field that knows its page meets that page only."""
+def _meet(fields: DataFrame, spans_: DataFrame, *keys: str, loose: bool) -> DataFrame:
+    """Fields and spans of one document that share ``keys``; a field that knows its page meets that page only.
+
+    ``loose`` says whether there are fields without a page at all.
+    """
     own = fields.where("_page is not null").withColumnRenamed("_page", "page_index").join(spans_, ["document_id", "page_index", *keys])
+    if not loose:
+        return own
     return own.unionByName(fields.where("_page is null").drop("_page").join(spans_, ["document_id", *keys]))
 
 
-def _near(fields: DataFrame, formed: DataFrame, fuzzy: bool, max_boxes: int) -> tuple[DataFrame, DataFrame | None]:
-    """(contained, similar): pairs of a field (_g) and a span (_o) on pages they may share.
+def _near(fields: DataFrame, formed: DataFrame, *, fuzzy: bool, loose: bool, max_boxes: int) -> DataFrame:
+    """Pairs of a field (_g) and a span (_o) on pages they may share, all contained or similar ones among them.
 
     Containment: the shorter text's rarest gram must be a gram of the longer one. A field sends its own
     to the regions of its pages; a region sends its own to the fields, and stays if the field contains
     all of it, as every region of a span does that lies inside the value. Similarity: the field sends
-    its segments. A hit names a region; only the spans over that region are compared.
+    its segments. A hit names a region; only the spans over such a region meet the field.
     """
     values = fields.where(F.length("_norm") >= MIN_SUBSTRING).select("document_id", "_page", "field_path", F.col("_norm").alias("_g"))
     singles = formed.where("size = 1").select(*PAGE, F.col("start").alias("_at"), "_norm").where("_norm <> ''")
     rarity = F.broadcast(_rarity(singles))  # one row
+    sent = F.array(_anchor(F.col("_g")))
+    if fuzzy:
+        sent = F.array_distinct(F.concat(sent, F.when(F.length("_g") >= MIN_FUZZY, _segments(F.col("_g"))).otherwise(F.array())))
+    asked = values.crossJoin(rarity).select("document_id", "_page", "field_path", "_g", F.explode(sent).alias("_gram"))
     region_grams = singles.select(*PAGE, "_at", F.explode(F.concat(_grams(F.col("_norm")), F.array(F.lit(_ANY)))).alias("_gram"))
-    rated = values.crossJoin(rarity)
-    sent = rated.select("document_id", "_page", "field_path", "_g", _anchor(F.col("_g")).alias("_gram"))
-    above = _meet(sent, region_grams, "_gram").drop("_gram")
+    above = _meet(asked, region_grams, "_gram", loose=loose).drop("_gram")
     region_anchor = singles.crossJoin(rarity).select(*PAGE, "_at", "_norm", _anchor(F.col("_norm")).alias("_gram"))
     field_grams = values.select("document_id", "_page", "field_path", "_g", F.explode(_grams(F.col("_g"))).alias("_gram"))
-    below = _meet(field_grams, region_anchor, "_gram").where(F.col("_g").contains(F.col("_norm"))).drop("_gram", "_norm")
+    below = _meet(field_grams, region_anchor, "_gram", loose=loose).where(F.col("_g").contains(F.col("_norm"))).drop("_gram", "_norm")
+    starts = above.unionByName(below).select(
+        *PAGE, "field_path", "_g", "_at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_at") - max_boxes + 1), F.col("_at"))).alias("start"))
+    first = starts.groupBy(*PAGE, "field_path", "_g", "start").agg(F.min("_at").alias("_at"))
     over = formed.select(*PAGE, "start", "size", F.col("_norm").alias("_o"), *SPAN_FACTS)
-
-    def spans_over(hits: DataFrame, least: float, most: float) -> DataFrame:
-        starts = hits.select(*PAGE, "field_path", "_g", "_at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_at") - max_boxes + 1), F.col("_at"))).alias("start"))
-        first = starts.groupBy(*PAGE, "field_path", "_g", "start").agg(F.min("_at").alias("_at"))
-        a, b = F.length("_g"), F.length("_o")
-        return first.join(over, [*PAGE, "start"]).where((F.col("start") + F.col("size") > F.col("_at")) & (b >= a * least) & (b <= a * most))
-
     a, b = F.length("_g"), F.length("_o")
-    ratio = F.least(a, b) / F.greatest(a, b)
-    inside = (F.col("_o").contains(F.col("_g")) | F.col("_g").contains(F.col("_o"))) & (ratio >= SUBSTRING_RATIO)
-    part = spans_over(above.unionByName(below), SUBSTRING_RATIO - 1e-9, 1 / SUBSTRING_RATIO + 1e-9).where(inside).withColumn("_ratio", ratio)
-    if not fuzzy:
-        return part, None
-    pieces = rated.where(F.length("_g") >= MIN_FUZZY).select("document_id", "_page", "field_path", "_g", F.explode(_segments(F.col("_g"))).alias("_gram"))
-    widest = 2 / FUZZY_RATIO - 1
-    alike = spans_over(_meet(pieces, region_grams, "_gram").drop("_gram"), 1 / widest - 1e-9, widest + 1e-9)
-    return part, alike.where(~inside)
+    return first.join(over, [*PAGE, "start"]).where(
+        (F.col("start") + F.col("size") > F.col("_at")) & (b >= a * (SUBSTRING_RATIO - 1e-9)) & (b <= a * (1 / SUBSTRING_RATIO + 1e-9))).drop("_at")
 
 
 def _fields_and_pages(fields: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -317,7 +313,8 @@ def match_cascade(fields: DataFrame, regions: DataFrame, *, max_boxes: int = MAX
     formed = cut_lineage(formed.withColumn("_fold", fold_accents(F.col("_norm"))))
 
     f = keyed_fields.select("document_id", "_page", "field_path", "normalization_kind", strip(F.col("gt_value")).alias("_told"), F.explode("_keys").alias("_key"))
-    hit = _meet(f, _span_keys(formed), "_key")
+    loose = keyed_fields.where("_page is null").limit(1).count() > 0
+    hit = _meet(f, _span_keys(formed), "_key", loose=loose)
     kind = F.substring("_key", 1, 1)
     rank = (
         F.when(F.col("raw") == F.col("_told"), 0).when(collapse(F.col("raw")) == collapse(F.col("_told")), 1)
@@ -329,13 +326,11 @@ def match_cascade(fields: DataFrame, regions: DataFrame, *, max_boxes: int = MAX
         F.when((F.col("_rank") == 5) & (F.col("normalization_kind") == "money"), "money_normalized").otherwise(F.get(names, F.col("_rank"))).alias("_method"),
         F.get(scores, F.col("_rank")).alias("confidence"))
 
-    inside, alike = _near(keyed_fields, formed, fuzzy, max_boxes)
-    part = inside.select(
-        *FIELD, *SPAN, *SPAN_FACTS, F.lit(7).alias("_rank"), F.lit("value_substring").alias("_method"),
-        F.least(F.lit(0.89), 0.72 + F.col("_ratio") * 0.15).alias("confidence"))
-    found = equal.unionByName(part)
-    if alike is not None:
-        found = found.unionByName(_similar(alike))
+    near = _near(keyed_fields, formed, fuzzy=fuzzy, loose=loose, max_boxes=max_boxes)
+    shorter, longer = F.least(F.length("_g"), F.length("_o")), F.greatest(F.length("_g"), F.length("_o"))
+    inside = (F.col("_o").contains(F.col("_g")) | F.col("_g").contains(F.col("_o"))) & (shorter / longer >= SUBSTRING_RATIO)
+    sure = F.when(inside, F.least(F.lit(0.89), 0.72 + shorter / longer * 0.15))
+    found = equal.unionByName(_graded(near.withColumn("_inside", sure), fuzzy))
     facts = F.struct("_rank", "_method", "confidence", *SPAN_FACTS)
     best = found.groupBy(*FIELD, *SPAN).agg(F.min_by(facts, "_rank").alias("_b"))
     return best.select(
@@ -346,21 +341,30 @@ def match_cascade(fields: DataFrame, regions: DataFrame, *, max_boxes: int = MAX
 
 @F.pandas_udf(DoubleType())
 def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype=float)
+    return pd.Series([None if a is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype=float)
 
 
-def _similar(near: DataFrame) -> DataFrame:
-    """Similarity of the pairs that can reach the threshold.
+def _graded(near: DataFrame, fuzzy: bool) -> DataFrame:
+    """Candidates among near pairs: contained ones (_inside is their confidence), and those similar enough.
 
     With ratio r, 2M >= r(a + b) characters match in order, so at most (1 - r)(a + b) edits separate
     the texts. The native edit distance applies that bound before Python sees a pair.
     """
-    a, b = F.length("_g"), F.length("_o")
-    possible = (F.least(a, b) >= MIN_FUZZY) & (2 * F.least(a, b) >= FUZZY_RATIO * (a + b))
-    edits = F.levenshtein(F.col("_g"), F.col("_o"))
-    close = near.where(possible).where(edits <= (1 - FUZZY_RATIO) * (a + b) + 1e-9)
-    return close.withColumn("confidence", _sequence_ratio(F.col("_g"), F.col("_o"))).where(F.col("confidence") >= FUZZY_RATIO).select(
-        *FIELD, *SPAN, *SPAN_FACTS, F.lit(8).alias("_rank"), F.lit("fuzzy").alias("_method"), "confidence")
+    if not fuzzy:
+        graded = near.where("_inside is not null").withColumn("confidence", F.col("_inside"))
+    else:
+        a, b = F.length("_g"), F.length("_o")
+        possible = (F.least(a, b) >= MIN_FUZZY) & (2 * F.least(a, b) >= FUZZY_RATIO * (a + b))
+        bound = F.floor((1 - FUZZY_RATIO) * (a + b) + 1e-9)
+        close = F.when(possible, F.levenshtein(F.col("_g"), F.col("_o")) <= bound).otherwise(False)
+        kept = near.where(F.col("_inside").isNotNull() | close)
+        asked = F.col("_inside").isNull()
+        ratio = _sequence_ratio(F.when(asked, F.col("_g")), F.when(asked, F.col("_o")))
+        graded = kept.withColumn("confidence", F.coalesce("_inside", ratio)).where(F.col("_inside").isNotNull() | (F.col("confidence") >= FUZZY_RATIO))
+    contained = F.col("_inside").isNotNull()
+    return graded.select(
+        *FIELD, *SPAN, *SPAN_FACTS, F.when(contained, 7).otherwise(8).alias("_rank"),
+        F.when(contained, "value_substring").otherwise("fuzzy").alias("_method"), "confidence")
 
 
 # ---------------------------------------------------------------- pruning and ranking
