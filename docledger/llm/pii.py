@@ -105,6 +105,8 @@ _CUES = frozenset("call tel phone telefon téléfono teléfono mobile fax ring n
 _SHAPE = ((re.compile("[0-9]+"), lambda m: "9" * min(len(m[0]), 5) + "+" * (len(m[0]) > 5)), (re.compile("[^\\W0-9_a-z]+"), "A"), (re.compile("[a-zß-ÿ]+"), "a"))
 #: Words on each side of a word with a digit, an at-sign or a spelt at or dot that the field reads along.
 REACH = 4
+#: Words decoded as one block, words a block reads into its neighbours, and words decoded side by side.
+BLOCK_WORDS, BLOCK_OVERLAP, SIDE_BY_SIDE = 2048, 64, 16_384
 #: Whatever _NEEDS asks for has one of these: a superset, so no sound span is passed over.
 _TRIGGER = re.compile(r"[0-9@]|(?<![^\W_])(?:at|dot)(?![^\W_])", re.IGNORECASE)
 
@@ -242,33 +244,52 @@ def trained_field(rounds: int = 150, ridge: float = 0.05) -> Field:
 
 
 def viterbi(field: Field, sequences: list[list[str]]) -> list[np.ndarray]:
-    """Best label numbers of each word sequence; sequences of like length are decoded side by side."""
-    order = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
-    out: list[np.ndarray] = [np.empty(0, int)] * len(sequences)
-    for first in range(0, len(order), 256):
-        group = [k for k in order[first:first + 256] if sequences[k]]
-        if not group:
-            continue
-        longest = len(sequences[group[-1]])
-        scores = np.zeros((len(group), longest, len(_LABELS)))
-        for row, k in enumerate(group):
-            for place, names in enumerate(_features(sequences[k])):
-                found = [field.known[name] for name in names if name in field.known]
-                scores[row, place] = field.emit[found].sum(axis=0)
-        best, origin = field.start + scores[:, 0], np.zeros(scores.shape, np.int64)
-        ends = np.array([len(sequences[k]) - 1 for k in group])
-        final = np.where((ends == 0)[:, None], best, -np.inf)
-        for place in range(1, longest):
-            options = best[:, :, None] + field.step[None]
-            origin[:, place] = options.argmax(axis=1)
-            best = options.max(axis=1) + scores[:, place]
-            final = np.where((ends == place)[:, None], best, final)
-        for row, k in enumerate(group):
-            path = np.empty(ends[row] + 1, int)
-            path[-1] = final[row].argmax()
-            for place in range(ends[row], 0, -1):
-                path[place - 1] = origin[row, place, path[place]]
-            out[k] = path
+    """Best label numbers of each word sequence.
+
+    A sequence of more than ``BLOCK_WORDS`` is decoded in blocks that reach ``BLOCK_OVERLAP`` words into
+    their neighbours, so memory does not grow with a line; blocks of like length go side by side.
+    """
+    blocks = [
+        (number, start, max(0, start - BLOCK_OVERLAP), words[max(0, start - BLOCK_OVERLAP):start + BLOCK_WORDS + BLOCK_OVERLAP])
+        for number, words in enumerate(sequences) for start in range(0, len(words), BLOCK_WORDS)
+    ]
+    out = [np.empty(len(words), int) for words in sequences]
+    blocks.sort(key=lambda block: len(block[3]))
+    first = 0
+    while first < len(blocks):
+        last = first + 1
+        while last < len(blocks) and (last + 1 - first) * len(blocks[last][3]) <= SIDE_BY_SIDE:
+            last += 1
+        for (number, start, begin, words), labels in zip(blocks[first:last], _decode(field, [block[3] for block in blocks[first:last]]), strict=True):
+            own = labels[start - begin:start - begin + BLOCK_WORDS]
+            out[number][start:start + len(own)] = own
+        first = last
+    return out
+
+
+def _decode(field: Field, sequences: list[list[str]]) -> list[np.ndarray]:
+    """Best label numbers of non-empty sequences, the longest last, all at once."""
+    longest = len(sequences[-1])
+    scores = np.zeros((len(sequences), longest, len(_LABELS)))
+    for row, words in enumerate(sequences):
+        for place, names in enumerate(_features(words)):
+            found = [field.known[name] for name in names if name in field.known]
+            scores[row, place] = field.emit[found].sum(axis=0)
+    best, origin = field.start + scores[:, 0], np.zeros(scores.shape, np.int8)
+    ends = np.array([len(words) - 1 for words in sequences])
+    final = np.where((ends == 0)[:, None], best, -np.inf)
+    for place in range(1, longest):
+        options = best[:, :, None] + field.step[None]
+        origin[:, place] = options.argmax(axis=1)
+        best = options.max(axis=1) + scores[:, place]
+        final = np.where((ends == place)[:, None], best, final)
+    out = []
+    for row, end in enumerate(ends):
+        path = np.empty(end + 1, int)
+        path[-1] = final[row].argmax()
+        for place in range(end, 0, -1):
+            path[place - 1] = origin[row, place, path[place]]
+        out.append(path)
     return out
 
 

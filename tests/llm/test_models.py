@@ -293,3 +293,26 @@ def test_personal_data_of_odd_rows(spark):
         assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and row.spans == joined
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(kind == k for _, _, kind in base) for k in pii.KINDS]
     assert find_personal_data(docs.where("doc_id > 99")).count() == 0
+
+
+def test_blocks_of_a_long_line_decode_like_the_whole(monkeypatch):
+    draw = random.Random(9)
+    field = trained_field()
+    words = [draw.choice(["call", "+49", "30", "901820", "river", "max", "AT", "example.com", "4111", "1111", "ip", "10.0.0.1"]) for _ in range(700)]
+    whole = viterbi(field, [words])[0]
+    monkeypatch.setattr(pii, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(pii, "SIDE_BY_SIDE", 400)
+    parts = viterbi(field, [words, [], words[:3], words[:60]])
+    assert (parts[0] == whole).all() and [len(part) for part in parts] == [700, 0, 3, 60]
+
+
+def test_a_very_long_line_stays_small():
+    import tracemalloc
+
+    sequences = [["12345"] * 100_000] + [["call", "me"]] * 255
+    field = trained_field()
+    tracemalloc.start()
+    viterbi(field, sequences)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
