@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docledger.llm import pii
-from docledger.llm.extract import Block, _cut, _edges, _settle, extract_text, label_blocks, main_text
+from docledger.llm.extract import Block, _cut, _edges, _settle, classifier, extract_text, held_out_errors, label_blocks, labelled_pages, main_text
 from docledger.llm.pii import base_spans, field_spans, find_personal_data, trained_field, viterbi
 from docledger.llm.quality_model import fit_quality, held_out, score_quality
 from docledger.llm.trees import fit_forest
@@ -92,7 +92,7 @@ def test_cut_is_minimal():
     for _ in range(60):
         n = draw.randrange(1, 9)
         blocks = [Block("x", tuple(draw.choices(range(3), k=draw.randrange(1, 5))), ()) for _ in range(n)]
-        odds, ties = [draw.gauss(0, 0.8) for _ in range(n)], _edges(blocks)
+        odds, ties = [draw.gauss(0, 0.8) for _ in range(n)], _edges(blocks, 0.5)
         whole = {k: dict(ties[k]) for k in ties}
         settled = _settle(left := list(odds), ties)
         free = {k: left[k] for k in range(n) if k not in settled}
@@ -103,6 +103,43 @@ def test_cut_is_minimal():
     assert label_blocks([]) == []
 
 
+def test_the_cut_decides_doubtful_blocks():
+    weights, tie = classifier()
+    assert tie > 0 and held_out_errors(tie) * 2 < held_out_errors(0.0)
+    changed = wrong = alone = 0
+    for blocks, marked in labelled_pages():
+        cut, own = label_blocks(blocks), label_blocks(blocks, weights, 0.0)
+        changed += sum(a != b for a, b in zip(cut, own))
+        wrong, alone = wrong + sum(a != b for a, b in zip(cut, marked)), alone + sum(a != b for a, b in zip(own, marked))
+    assert changed >= 5 and wrong < alone
+
+
+def test_neighbours_settle_blocks_without_evidence():
+    prose = "The quick fox jumped over the dog and then went its way down to the river, as it did each day."
+    page = f"<div><a>Home</a><p>Today<p><a>Away</a></div><div><p>{prose}<p><a>a map</a><p>{prose}</div><ul><li><a>In</a><li>Here<li><a>Out</a></ul>"
+    assert main_text(page) == f"{prose}\n\na map\n\n{prose}"
+
+
+@pytest.mark.parametrize("name", ["share-price", "share-bar", "story-author-view", "social-history", "tags"])
+def test_prose_under_names_of_two_meanings(name):
+    kept = main_text(f"<article><h1>Story</h1><p>It began in May.</p><div class='{name}'><p>It went on until the end of June.</p></div></article>")
+    assert kept.endswith("It went on until the end of June.") == (name in ("share-price", "story-author-view", "social-history"))
+
+
+@pytest.mark.parametrize("open_tag", [
+    "<section class=post-comments>", "<div class='entry-comments'><article class=comment>", "<aside>", "<div class=story-share>", "<form class=content-form>",
+    "<div class='article-newsletter text'>", "<nav class=post-nav>", "<footer class=entry-footer>"])
+def test_frame_inside_the_article_goes(open_tag):
+    prose = "I liked it very much, thank you for writing all of this down for us, we will surely come back. "
+    page = f"<main class=content><article class='post entry'><h1>Rain</h1><p>{prose}It fell.</p>{open_tag}<p>{prose}</p><p>{prose * 3}</p>"
+    assert main_text(page) == f"Rain\n\n{prose}It fell."
+
+
+def test_headlines_and_quotes_of_the_article():
+    page = "<article><header class='entry-header'><h1>Rain</h1></header><p>It fell.</p><aside class=pullquote><p>So wet!</p></aside><aside><p>See also us.</p></aside></article>"
+    assert main_text(page) == "Rain\n\nIt fell.\n\nSo wet!"
+
+
 def test_extraction_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "a"), (2, None, "", "b"), (None, None, ARTICLE, "c")], "page_id long, url string, html string, n_chars string")
     got = extract_text(rows.union(rows)).orderBy("page_id").collect()
