@@ -25,28 +25,36 @@ def canonical_json_hash(columns: Sequence[str]) -> Column:
     return F.sha2(canonical_json(columns), 256)
 
 
-def manifest_hash(
-    files: DataFrame, columns: Sequence[str], order: str, *, prefix_length: int = 2
-) -> DataFrame:
-    """Hash of an ordered file list, as a tree of digests.
+#: Hex digits of a row hash that name its leaf; each level above drops two, so a node has up to 256 children.
+LEAF_DIGITS = 8
+
+
+def manifest_hash(files: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Number and hash of a list of files, as a tree of digests of fixed depth.
 
-    Rows are hashed first; a leaf digests the path-ordered row hashes of one bucket (the first hex
-    digits of the path hash), and the root digests the leaves in bucket order. Every task holds the
-    64-byte hashes of one leaf, so ``prefix_length`` is raised with the number of files.
+    Rows are hashed and repeated ones counted. A leaf digests the rows whose hashes share their first
+    eight digits, in the order of the hashes; the nodes above digest up to 256 children each, down to
+    the root. The depth, not the size of the list or the number of tasks, fixes the result, and the
+    three lowest levels share one partitioning. An empty list has the hash of the empty text.
     """
-    rows = files.select(
-        F.col(order).alias("_path"), canonical_json_hash(columns).alias("_hash"),
-        F.substring(F.sha2(F.col(order), 256), 1, prefix_length).alias("_bucket"),
-    )
-    leaves = rows.groupBy("_bucket").agg(
-        F.count(F.lit(1)).alias("_files"),
-        F.sha2(F.expr("listagg(_hash, ',') within group (order by _path, _hash)"), 256).alias("_leaf"),
-    )
-    return leaves.agg(
+    counted = files.select(canonical_json_hash(columns).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_files"))
+    level = counted.select(
+        F.col("_hash").alias("_node"), F.concat_ws(":", "_hash", "_files").alias("_digest"), "_files",
+        F.substring("_hash", 1, LEAF_DIGITS - 4).alias("_place"),
+    ).repartition("_place")
+
+    def folded(children: DataFrame, digits: int, *together: str) -> DataFrame:
+        return children.withColumn("_above", F.substring("_node", 1, digits)).groupBy(*together, "_above").agg(
+            F.sum("_files").alias("_files"), F.sha2(F.expr("listagg(_digest, ',') within group (order by _node)"), 256).alias("_digest"),
+        ).withColumnRenamed("_above", "_node")
+
+    for digits in (LEAF_DIGITS, LEAF_DIGITS - 2, LEAF_DIGITS - 4):
+        level = folded(level, digits, "_place")
+    for digits in range(LEAF_DIGITS - 6, 0, -2):
+        level = folded(level, digits)
+    return level.agg(
         F.coalesce(F.sum("_files"), F.lit(0)).alias("files"),
-        F.sha2(
-            F.coalesce(F.expr("listagg(_leaf, ',') within group (order by _bucket)"), F.lit("")), 256
-        ).alias("manifest_hash"),
+        F.sha2(F.coalesce(F.expr("listagg(_digest, ',') within group (order by _node)"), F.lit("")), 256).alias("manifest_hash"),
     )
 
 

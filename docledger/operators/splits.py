@@ -69,9 +69,9 @@ def locked_manifest(documents: DataFrame, files: DataFrame, seed: int) -> DataFr
 
     split = locked_split(documents, seed)
     sizes = split.agg(*[F.count_if(F.col("split") == name).alias(f"{name}_documents") for name in ("train", "validation", "test")])
-    data = manifest_hash(documents, ["document_id", "relative_path", "sha256"], "relative_path").select(F.col("manifest_hash").alias("dataset_manifest_hash"))
-    truth = manifest_hash(tree_files(files, "gt_path", ".json", ["splits"]), ["gt_path", "gt_sha256"], "gt_path").select(F.col("manifest_hash").alias("gt_manifest_hash"))
-    assigned = manifest_hash(split, ["document_id", "split"], "document_id").select(F.col("manifest_hash").alias("assignment_hash"))
+    data = manifest_hash(documents, ["document_id", "relative_path", "sha256"]).select(F.col("manifest_hash").alias("dataset_manifest_hash"))
+    truth = manifest_hash(tree_files(files, "gt_path", ".json", ["splits"]), ["gt_path", "gt_sha256"]).select(F.col("manifest_hash").alias("gt_manifest_hash"))
+    assigned = manifest_hash(split, ["document_id", "split"]).select(F.col("manifest_hash").alias("assignment_hash"))
     row = sizes.join(F.broadcast(data)).join(F.broadcast(truth)).join(F.broadcast(assigned)).withColumn("random_seed", F.lit(seed))
     return row.withColumn("split_manifest_hash", canonical_json_hash(row.columns))
 

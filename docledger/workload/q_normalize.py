@@ -149,26 +149,27 @@ def id2(spark, sf):
         "doc_key", identity.canonical_json_hash(["sha256", "relative_path", "document_id"]).alias("digest"))
 
 
-def _manifest_sql(rows: str, path: str, table: str, where: str = "true") -> str:
-    return f"""with r as (select {path} as p, sha256({rows}) as h, substring(sha256({path}), 1, 2) as b from {table} where {where}),
-      leaf as (select b, count(*) as n, sha256(string_agg(h, ',' order by p, h)) as d from r group by b)
-      select cast(coalesce(sum(n), 0) as bigint) as files, sha256(coalesce(string_agg(d, ',' order by b), '')) as manifest_hash from leaf"""
+def _manifest_sql(rows: str, table: str, where: str = "true") -> str:
+    levels = "".join(
+        f", l{digits} as (select substring(b, 1, {digits}) as b, sum(n) as n, sha256(string_agg(d, ',' order by b)) as d from {below} group by 1)"
+        for digits, below in ((8, "c"), (6, "l8"), (4, "l6"), (2, "l4")))
+    return f"""with r as (select sha256({rows}) as h from {table} where {where}), c as (select h as b, count(*) as n, h || ':' || count(*) as d from r group by h){levels}
+      select cast(coalesce(sum(n), 0) as bigint) as files, sha256(coalesce(string_agg(d, ',' order by b), '')) as manifest_hash from l2"""
 
 
-@query("id3_dataset_manifest_hash", oracle(_manifest_sql(_ROW_JSON, "relative_path", "fx_source"), "fx_source"))
+@query("id3_dataset_manifest_hash", oracle(_manifest_sql(_ROW_JSON, "fx_source"), "fx_source"))
 def id3(spark, sf):
-    return identity.manifest_hash(
-        _identified(spark, sf), ["document_id", "relative_path", "sha256"], "relative_path")
+    return identity.manifest_hash(_identified(spark, sf), ["document_id", "relative_path", "sha256"])
 
 
 _GT_JSON = """'{"gt_path":"' || gt_path || '","gt_sha256":"' || gt_sha256 || '"}'"""
 
 
 @query("id4_tree_manifest_hash", oracle(
-    _manifest_sql(_GT_JSON, "gt_path", "fx_files", "gt_path like '%.json' and gt_path not like 'splits/%'"), "fx_files"))
+    _manifest_sql(_GT_JSON, "fx_files", "gt_path like '%.json' and gt_path not like 'splits/%'"), "fx_files"))
 def id4(spark, sf):
     files = identity.tree_files(fixture(spark, sf, "fx_files"), "gt_path", ".json", ["splits"])
-    return identity.manifest_hash(files, ["gt_path", "gt_sha256"], "gt_path")
+    return identity.manifest_hash(files, ["gt_path", "gt_sha256"])
 
 
 _CURRENT = """select doc_key, case when doc_key % 9 = 0 then {h} else sha256 end as data_hash,
