@@ -111,17 +111,26 @@ def training_rollup(stages: DataFrame) -> DataFrame:
         _ordered_reasons().alias("reasons"))
 
 
+def reason_rows(stages: DataFrame, key: str | None = "run_id", position: str = "stage_order") -> DataFrame:
+    """(key, reason, first_position, occurrences): the reasons of every run as rows, however many there are."""
+    keys = [key] if key else []
+    return stages.where("reason is not null").groupBy(*keys, "reason").agg(F.min(position).alias("first_position"), F.count(F.lit(1)).alias("occurrences"))
+
+
 def experiment_outcome(runs: DataFrame) -> DataFrame:
     """Counts by status, whether everything failed, and distinct reasons in first-seen order.
 
-    Reasons are distinct texts; each is reduced to its first position before they are listed.
+    Runs are counted by reason first, so the one row is made from as many rows as there are distinct
+    reasons. It lists them all; :func:`reason_rows` gives them as rows where they are many.
     """
-    counts = runs.agg(
-        F.count(F.lit(1)).alias("combination_count"), *[F.count_if(F.col("status") == s).alias(f"{n}_count") for s, n in (
-            ("success", "successful"), ("skipped", "skipped"), ("failed", "failed"))])
-    first = runs.where("reason is not null").groupBy("reason").agg(F.min("position").alias("_at"))
-    reasons = first.agg(F.expr("listagg(reason, '; ') within group (order by _at, reason)").alias("reasons"))
-    return counts.join(F.broadcast(reasons)).withColumn("all_failed", (F.col("combination_count") > 0) & (F.col("failed_count") == F.col("combination_count")))
+    statuses = (("success", "successful"), ("skipped", "skipped"), ("failed", "failed"))
+    by_reason = runs.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col("status") == s).alias(f"_{n}") for s, n in statuses], F.min("position").alias("_at"))
+    return by_reason.agg(
+        F.coalesce(F.sum("_all"), F.lit(0)).alias("combination_count"),
+        *[F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(f"{n}_count") for _, n in statuses],
+        F.expr("listagg(reason, '; ') within group (order by _at, reason)").alias("reasons"),
+    ).withColumn("all_failed", (F.col("combination_count") > 0) & (F.col("failed_count") == F.col("combination_count")))
 
 
 def run_summary(documents: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,6 +26,33 @@ def score_table(df: DataFrame, load: Loader, schema: StructType | str, *, model_
     return df.mapInPandas(run, schema).withColumn("model_name", F.lit(model_name)).withColumn("model_revision", F.lit(model_revision))
 
 
+def linear_head(spark: SparkSession, weights: np.ndarray, bias: np.ndarray, *, vector: str = "embedding") -> Loader:
+    """A linear head as a model for :func:`score_table`: ``vector`` gives way to ``logits``, one per class.
+
+    The head is as large as classes times dimensions and reaches every executor once. A vector that is
+    null, of another length, or holds anything but finite numbers has null logits.
+    """
+    shared = spark.sparkContext.broadcast((np.asarray(weights, float), np.asarray(bias, float)))
+
+    def load() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        matrix, offset = shared.value
+        width = matrix.shape[1]
+
+        def predict(batch: pd.DataFrame) -> pd.DataFrame:
+            rows = [None if v is None or len(v) != width else np.asarray(v, float) for v in batch[vector]]
+            sound = np.array([row is not None and bool(np.isfinite(row).all()) for row in rows], bool)
+            logits: list = [None] * len(rows)
+            if sound.any():
+                scores = np.stack([row for row, good in zip(rows, sound) if good]) @ matrix.T + offset
+                for at, score in zip(np.flatnonzero(sound), scores):
+                    logits[at] = score.tolist()
+            return batch.drop(columns=vector).assign(logits=logits)
+
+        return predict
+
+    return load
+
+
 def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     powers = F.transform(logits, lambda x: F.exp(x - top))

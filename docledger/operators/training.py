@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -58,7 +59,7 @@ def linear_probe(features: DataFrame, *, grid: tuple[float, ...] = (0.0, 0.01),
 
     ``features`` has embedding (array), label (int) and split. Returns (model, report).
     """
-    vectors = features.select("vec_id", "split", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    vectors = features.select("vec_id", "split", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
     train, validation, test = (vectors.where(F.col("split") == s) for s in ("train", "validation", "test"))
     judge = MulticlassClassificationEvaluator(metricName="accuracy")
     scored = []
@@ -69,4 +70,11 @@ def linear_probe(features: DataFrame, *, grid: tuple[float, ...] = (0.0, 0.01),
     report = features.sparkSession.createDataFrame(
         [(float(-best[1]), float(best[0]), float(judge.evaluate(best[2].transform(test))), len(grid))],
         "reg_param double, validation_accuracy double, test_accuracy double, candidates int")
+    vectors.unpersist()
     return best[2], report
+
+
+def probe_head(model: PipelineModel) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by class and dimension, one bias per class) of a fitted probe."""
+    fitted = model.stages[-1]
+    return fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()

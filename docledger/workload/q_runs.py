@@ -159,6 +159,12 @@ def ru5(spark, sf):
     return U.training_rollup(fixture(spark, sf, "fx_times").withColumn("seconds", F.col("millis")).withColumn("reason", F.expr(_REASON)))
 
 
+@query("ru5_reason_rows", oracle(f"""with r as (select run_id, stage_order, {_REASON} as reason from fx_times where status <> 'success')
+  select run_id, reason, min(stage_order) as first_position, count(*) as occurrences from r where reason is not null group by 1, 2""", "fx_times"))
+def ru5_rows(spark, sf):
+    return U.reason_rows(fixture(spark, sf, "fx_times").where("status <> 'success'").withColumn("reason", F.expr(_REASON)))
+
+
 @query("ru6_experiment_outcome", oracle(f"""with f as (select {_REASON} as reason, min(event_id) as first_at from fx_times where status <> 'success' group by 1)
   select count(*) as combination_count, count(*) filter (status = 'success') as successful_count, count(*) filter (status = 'skipped') as skipped_count, count(*) filter (status = 'failed') as failed_count,
    (select string_agg(reason, '; ' order by first_at, reason) from f) as reasons, 0 as all_failed from fx_times""", "fx_times"))
@@ -247,3 +253,15 @@ def sc1(spark, sf):
         "concat('doc', cast(vec_id div 3 as string)) as document_id", "0 as page_index", "cast(vec_id div 3 as string) as region_id", "vec_id as subtoken", "embedding")
     scored = S.score_table(rows, _norm_model, "document_id string, page_index int, region_id string, subtoken bigint, logits array<double>", model_name="probe", model_revision="r1")
     return S.label_entities(scored, ["O", "B-UNIT", "I-UNIT"]).drop("confidence")
+
+
+@query("sc1_probe_labels")
+def sc1_probe(spark, sf):
+    """Entities labelled by the head that the probe fits to the same table; classes past the first are entity labels."""
+    weights, bias = T.probe_head(T.linear_probe(_features(spark, sf))[0])
+    rows = table(spark, sf, "embeddings").selectExpr(
+        "concat('doc', cast(vec_id div 3 as string)) as document_id", "0 as page_index", "cast(vec_id div 3 as string) as region_id", "vec_id as subtoken", "embedding")
+    scored = S.score_table(
+        rows, S.linear_head(spark, weights, bias), "document_id string, page_index int, region_id string, subtoken bigint, logits array<double>",
+        model_name="probe", model_revision="fitted")
+    return S.label_entities(scored, ["O", *(f"CLASS_{k}" for k in range(1, len(bias)))])
