@@ -35,12 +35,17 @@ def settled(value: Column) -> Column:
 
 def private(df: DataFrame) -> DataFrame:
     """``df`` with its columns under names that no operator uses; see :func:`public`."""
-    return df.toDF(*(f"_own_{name}" for name in df.columns))
+    return df.toDF(*(own(name) for name in df.columns))
 
 
-def public(df: DataFrame, names: list[str]) -> DataFrame:
-    """The columns that were ``names`` before :func:`private`, and nothing else."""
-    return df.select(*(f"`_own_{name}`" for name in names)).toDF(*names)
+def own(name: str) -> str:
+    """What ``name`` is called after :func:`private`."""
+    return f"_own_{name}"
+
+
+def public(df: DataFrame, names: list[str], results: tuple[str, ...] = ()) -> DataFrame:
+    """The columns that were ``names`` before :func:`private`, then ``results``, and nothing else."""
+    return df.select(*(f"`{own(name)}`" for name in names), *results).toDF(*names, *results)
 
 
 def keep_columns(df: DataFrame, taken: set[str]) -> list[str]:

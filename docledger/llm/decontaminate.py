@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docledger.llm.common import keep_columns, own, private, public
 from docledger.session import cut_lineage
 
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 WINDOW = 13
 SHINGLE = 3
 #: Windows of one block; at 13 words each the driver and a task hold about 100 MB of them.
@@ -163,8 +165,9 @@ def find_contamination(
     one in ``one_in`` of its words is hit. Null and empty texts have no words and are clean. Null, empty and
     wordless items have no window; an item without id marks words but is not listed. Repeated
     documents are judged row by row, repeated items count once. An empty benchmark hits nothing.
-    Columns of ``docs`` named like a result are replaced, all others stay.
+    Columns of ``docs`` named like a result are replaced, all others stay, whatever they are called.
     """
+    names, docs, text = keep_columns(docs, set(RESULTS)), private(docs), own(text)
     owned = cut_lineage(
         benchmark.select(F.col(item_id).cast("string").alias("item"), F.explode(_windows_of(item_text)).alias("window")).distinct()
     )
@@ -205,4 +208,4 @@ def find_contamination(
         .withColumn("items_sha256", F.coalesce("_sha", F.sha2(F.lit(""), 256)))
     )
     enough = (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words"))
-    return judged.withColumn("contaminated", enough).drop("_found", "_key", "_set", "_n", "_sha")
+    return public(judged.withColumn("contaminated", enough), names, RESULTS)

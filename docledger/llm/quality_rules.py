@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import SPACE, keep_columns, settled, words
+from docledger.llm.common import SPACE, keep_columns, own, private, settled, words
 
 WINDOW = 5
 
@@ -91,11 +91,12 @@ def apply_rules(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...]
 
     A null or empty text has no words, fails the base and is not kept; all its counts and ratios are
     zero. Rows are judged one by one, so repeated rows get equal verdicts. Columns of ``docs`` named
-    like a result are replaced, all others stay.
+    like a result are replaced, the text's own among them; all others stay, whatever they are called.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
-    kept = keep_columns(docs, {*COUNTS, *METRICS, "base_failed", "failed_rules", "kept"} - {text})
-    worded = docs.select(*kept, value.alias("_text"), words(F.col(text)).alias("_words"))
+    names = keep_columns(docs, {*COUNTS, *METRICS, "base_failed", "failed_rules", "kept"})
+    kept, said = [f"`{own(name)}`" for name in names], F.col(f"`{own(text)}`")
+    value = F.coalesce(said, F.lit(""))
+    worded = private(docs).select(*kept, value.alias("_text"), words(said).alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
     counted = worded.withColumns({
         "n_words": F.size("_words"),
@@ -119,4 +120,5 @@ def apply_rules(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...]
         ratio("_stops", F.col("n_words")).alias("stop_ratio"),
     )
     failed = measured.withColumn("failed_rules", compile_rules(rules))
-    return failed.withColumn("kept", settled(~F.col("base_failed") & (F.size("failed_rules") == 0)))
+    judged = failed.withColumn("kept", settled(~F.col("base_failed") & (F.size("failed_rules") == 0)))
+    return judged.toDF(*names, *judged.columns[len(names):])

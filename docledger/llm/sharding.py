@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docledger.llm.common import keep_columns, own, private, public
+
 #: Rows of one numbering window, on average.
 CHUNK_ROWS = 50_000
 _DRAW_BITS = 52
@@ -28,16 +30,18 @@ def draws(key: Column, weights: tuple[float, ...]) -> Column:
 def assign_shards(docs: DataFrame, *, shards: int = 40, doc_id: str = "doc_id", weights: tuple[float, ...] | None = None) -> DataFrame:
     """``docs`` with shard and grown_shard (the shard if one more of weight 1 were added).
 
-    Only the id and the shards decide; rows without id share one shard, repeated ids too.
+    Only the id and the shards decide; rows without id share one shard, repeated ids too. Columns
+    named like these two are replaced, all others stay, whatever they are called.
     """
+    names = keep_columns(docs, {"shard", "grown_shard"})
     all_weights = (*(weights or (1.0,) * shards), 1.0)
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    return (
-        docs.withColumn("_draws", draws(key, all_weights))
+    key = F.coalesce(F.col(f"`{own(doc_id)}`").cast("string"), F.lit(""))
+    drawn = (
+        private(docs).withColumn("_draws", draws(key, all_weights))
         .withColumn("shard", F.array_min(F.slice("_draws", 1, shards))["shard"])
         .withColumn("grown_shard", F.array_min("_draws")["shard"])
-        .drop("_draws")
     )
+    return public(drawn, names, ("shard", "grown_shard"))
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 40, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

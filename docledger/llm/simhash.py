@@ -12,6 +12,8 @@ they differ in at most two bits, and a value has at most 65 owners, all linked w
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docledger.llm.common import own, private, public
 from docledger.llm.components import components
 from docledger.session import cut_lineage, spread
 
@@ -122,16 +125,25 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The columns of ``docs``, one row for each component: that of the smallest doc_id.
 
-    Nulls come last; of rows that share doc_id and fingerprint the smallest in column order stays.
+    Nulls come last; of rows that share doc_id and fingerprint the smallest in column order stays,
+    where maps and variants, which have no order, count as their JSON text. Columns may have any name.
     """
-    names = docs.columns
-    marked = docs.withColumn("_print", simhash(text))
-    printed = cut_lineage(marked.select(F.col(doc_id).alias("doc_id"), F.col("_print").alias("print")).distinct())
+    names, mine = docs.columns, private(docs)
+    doc_id = own(doc_id)
+    marked = mine.withColumn("_print", simhash(own(text)))
+    printed = cut_lineage(marked.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("_print").alias("print")).distinct())
     least = printed.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id")).alias("least"))
     chosen = (
         _rooted(printed).join(least, "print").groupBy("root")
         .agg(F.min(F.struct("least.late", "least.doc_id", "print")).alias("first"))
         .select(F.col("first.doc_id").alias("_id"), F.col("first.print").alias("_chosen"))
     )
-    kept = marked.join(chosen, marked[doc_id].eqNullSafe(chosen["_id"]) & (marked["_print"] == chosen["_chosen"]), "left_semi")
-    return kept.groupBy(doc_id, "_print").agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
+    kept = marked.join(chosen, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_chosen")), "left_semi")
+    row = F.struct(*(f"`{name}`" for name in mine.columns))
+    unordered = [field.name for field in mine.schema if re.search(r"\b(map|variant)\b", field.dataType.simpleString())]
+    if unordered:
+        rank = F.struct(*(F.to_json(F.struct(f"`{name}`")) if name in unordered else F.col(f"`{name}`") for name in mine.columns))
+        first = F.min_by(row, rank)
+    else:
+        first = F.min(row)
+    return public(kept.groupBy(f"`{doc_id}`", "_print").agg(first.alias("_row")).select("_row.*"), names)
