@@ -1,6 +1,7 @@
 """Sides that are dealt together meet where they lie: exchanges, copies and missing keys."""
 
 from docledger.operators import align as L
+from docledger.operators import clean as K
 
 FIELDS = "document_id string, path string, kind string, text string"
 REGIONS = ("document_id string, region_id string, page_index bigint, text string, x_min double, y_min double, x_max double, y_max double, "
@@ -46,3 +47,22 @@ def test_layout_pages_meet_once(spark):
     found = {(r.document_id, r.page_index): (r.tokens, r.labels, r.region_ids, r.boxes[0]) for r in pages.collect()}
     assert found == {("d", 0): (["N", "A", "B"], ["O", "B-X", "O"], [None, "a", "b"], [0, 100, 500, 200]),
                      ("d", 1): (["C", "C"], ["B-Y", "B-Z"], ["c", "c"], [0, 10, 50, 20])}
+
+
+def resolved_fields(spark):
+    decided = spark.createDataFrame([
+        ("d", "f1", "A", ["r1"], "KEEP", "k"), ("d", "f2", "A", ["r1", "r2"], "REVIEW", "k"), ("d", "f3", "A", ["gone", "r2"], "KEEP", "k"), ("d", "f4", "A", [], "KEEP", "k"),
+        ("d", "f5", "A", None, "KEEP", "k"), ("d", "f6", "A", [None], "KEEP", "k"), ("d", "f7", "A", ["r3", "r3"], "KEEP", "k"), ("d", None, "A", ["r1"], "KEEP", "k"),
+        (None, "f1", "A", ["r1"], "KEEP", "k"), ("e", "f1", "A", ["r1"], "KEEP", "k"), ("e", "f1", "B", ["gone"], "KEEP", "k"), ("g", "f1", "A", ["r1"], "KEEP", "k"), ("g", "f3", "A", ["r1", "gone"], "KEEP", "k")], DECIDED)
+    tokens = spark.createDataFrame([("d", "r1"), ("d", "r1"), ("d", "r2"), ("d", "r3"), ("d", None), (None, "r1"), ("e", "r1"), ("g", "r1")], "document_id string, region_id string")
+    return K.resolve_conflicts(decided, tokens)
+
+
+def test_conflicts_meet_once(spark):
+    resolved = resolved_fields(spark)
+    assert exchanges(resolved) == 1
+    found = sorted((str(r.document_id), str(r.field_path), r.label, r.decision, r.reason) for r in resolved.collect())
+    unknown, shared = ("IGNORE", "alignment_region_missing_from_tokens"), ("IGNORE", "region_shared_by_multiple_fields")
+    assert found == sorted([
+        ("d", "f1", "A", *shared), ("d", "f2", "A", *shared), ("d", "f3", "A", *unknown), ("d", "f4", "A", "KEEP", "k"), ("d", "f5", "A", "KEEP", "k"), ("d", "f6", "A", *unknown),
+        ("d", "f7", "A", "KEEP", "k"), ("d", "None", "A", "KEEP", "k"), ("None", "f1", "A", "KEEP", "k"), ("e", "f1", "A", *unknown), ("e", "f1", "B", *unknown), ("g", "f1", "A", "KEEP", "k"), ("g", "f3", "A", *unknown)])
