@@ -66,3 +66,12 @@ def test_conflicts_meet_once(spark):
     assert found == sorted([
         ("d", "f1", "A", *shared), ("d", "f2", "A", *shared), ("d", "f3", "A", *unknown), ("d", "f4", "A", "KEEP", "k"), ("d", "f5", "A", "KEEP", "k"), ("d", "f6", "A", *unknown),
         ("d", "f7", "A", "KEEP", "k"), ("d", "None", "A", "KEEP", "k"), ("None", "f1", "A", "KEEP", "k"), ("e", "f1", "A", *unknown), ("e", "f1", "B", *unknown), ("g", "f1", "A", "KEEP", "k"), ("g", "f3", "A", *unknown)])
+
+
+def test_decisions_of_every_field_are_made_once(spark):
+    fields = spark.createDataFrame([("d", "f1", "A"), ("d", "new", "B"), ("d", "new", "B"), ("d", None, "C"), (None, "f1", "D")], "document_id string, field_path string, label string")
+    every = K.with_unmatched(resolved_fields(spark), fields)
+    assert scans(every) == 3
+    unmatched = sorted((str(r.document_id), str(r.field_path), r.label) for r in every.where("reason = 'unmatched_no_region'").collect())
+    assert unmatched == [("None", "f1", "D"), ("d", "None", "C"), ("d", "new", "B"), ("d", "new", "B")]
+    assert every.count() == 13 + 4
