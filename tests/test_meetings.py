@@ -2,6 +2,7 @@
 
 from docledger.operators import align as L
 from docledger.operators import clean as K
+from docledger.operators.fields import document_counts, paired_fields, per_field_accuracy
 
 FIELDS = "document_id string, path string, kind string, text string"
 REGIONS = ("document_id string, region_id string, page_index bigint, text string, x_min double, y_min double, x_max double, y_max double, "
@@ -19,6 +20,39 @@ def scans(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
 
 
+def both_sides(spark):
+    expected = [("d", "a", "string", "X y"), ("d", "b", "number", "1"), ("d", "b", "number", "2"), (None, "a", "string", "n"), ("e", None, "string", "n"), ("f", "a", "null", None)]
+    predicted = [("d", "a", "string", "x  Y"), ("d", "b", "number", "1.0"), ("d", "b", "number", "3"), ("d", "b", "number", "4"), (None, "a", "string", "n"),
+                 ("e", None, "string", "n"), ("g", "a", "string", "　")]
+    return spark.createDataFrame(predicted, FIELDS), spark.createDataFrame(expected, FIELDS)
+
+
+def test_fields_meet_where_they_are_dealt(spark):
+    paired = paired_fields(*both_sides(spark))
+    assert exchanges(paired) == 1
+    assert exchanges(document_counts(paired)) == 2  # counts of a document's shares
+
+
+def test_copies_of_a_path_are_paired_each_with_each(spark):
+    paired = paired_fields(*both_sides(spark))
+    found = sorted(map(str, ((r.document_id, r.path, r.g_kind, r.g_text, r.p_kind, r.p_text) for r in paired.collect())))
+    want = [("d", "a", "string", "X y", "string", "x  Y"), (None, "a", "string", "n", None, None), (None, "a", None, None, "string", "n"),
+            ("e", None, "string", "n", None, None), ("e", None, None, None, "string", "n"), ("f", "a", "null", None, None, None), ("g", "a", None, None, "string", "　")]
+    want += [("d", "b", "number", g, "number", p) for g in "12" for p in ("1.0", "3", "4")]
+    assert found == sorted(map(str, want))
+
+
+def test_counts_of_equal_alike_and_blank_values(spark):
+    rows = {r.document_id: r for r in document_counts(paired_fields(*both_sides(spark))).collect()}
+    d = rows["d"]
+    assert (d.true_positives, d.normalized_true_positives, d.predicted_fields, d.expected_fields) == (0, 1, 7, 7)
+    assert (d.exact_paths, d.normalized_paths, d.document_exact) == (1, 2, False)
+    assert (rows["f"].exact_paths, rows["f"].normalized_paths, rows["f"].expected_fields) == (1, 1, 0)
+    assert (rows["g"].predicted_fields, rows["g"].character_errors) == (0, 0)
+    accuracy = {r.path: (r.correct, r.total) for r in per_field_accuracy(paired_fields(*both_sides(spark))).collect()}
+    assert accuracy == {"a": (2, 3), "b": (1, 6), None: (0, 1)}
+
+
 def test_alignment_rows_meet_once(spark):
     regions = spark.createDataFrame([
         ("d", "r1", 0, " one ", 0.0, 0.0, 1.0, 1.0, 0.9, 0.8), ("d", "r2", 0, "two", 0.0, 0.0, 1.0, 1.0, 0.7, 0.6), ("d", "r3", 0, " ", 0.0, 0.0, 1.0, 1.0, 0.5, 0.5),
