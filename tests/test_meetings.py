@@ -27,10 +27,13 @@ def both_sides(spark):
     return spark.createDataFrame(predicted, FIELDS), spark.createDataFrame(expected, FIELDS)
 
 
-def test_fields_meet_where_they_are_dealt(spark):
-    paired = paired_fields(*both_sides(spark))
-    assert exchanges(paired) == 1
-    assert exchanges(document_counts(paired)) == 2  # counts of a document's shares
+def test_flags_are_dealt_by_document_before_they_are_counted(spark):
+    counts = document_counts(paired_fields(*both_sides(spark))).select("document_id", "true_positives")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(counts) == 4  # either side by path, the flags by document and share, the counts by document
+    dealt = next(line for line in plan.splitlines() if "REPARTITION_BY_COL" in line)
+    assert plan.index("partial_count") < plan.index(dealt) < plan.index("SortMergeJoin")
+    assert "text" not in dealt and "path" not in dealt
 
 
 def test_copies_of_a_path_are_paired_each_with_each(spark):
