@@ -70,15 +70,24 @@ def _within_one(value: Column) -> Column:
     return F.array(value, *(value.bitwiseXOR(F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))) for bit in range(64)))
 
 
+def _members(prints: DataFrame) -> DataFrame:
+    """(key, print, size) of the variants that several fingerprints share.
+
+    The engine sizes the 64 variants of a fingerprint like one row: unless told to merge, it would send
+    the whole index through the driver while the fingerprints alone are below its limit.
+    """
+    index = prints.select("print", F.explode(_variants(F.col("print"))).alias("key"))
+    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return index.hint("merge").join(sizes.hint("merge"), "key").select("key", "print", "size")
+
+
 def fingerprint_links(prints: DataFrame, *, crowded: int = CROWDED) -> DataFrame:
     """(a, b): links between different fingerprints that keep every component within two bits.
 
     ``prints`` has one row per distinct ``print``. Small buckets give all their linked pairs, crowded
     ones a star for each shared value; either way two fingerprints within two bits are connected.
     """
-    index = prints.select("print", F.explode(_variants(F.col("print"))).alias("key"))
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut_lineage(index.join(sizes, "key").select("key", "print", "size"))
+    members = cut_lineage(_members(prints))
     few = (
         members.where(F.col("size") <= crowded).groupBy("key").agg(F.collect_list("print").alias("all"))
         .select(F.explode(F.expr(

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from docledger.llm import simhash
 from docledger.llm.components import components
 from docledger.llm.decontaminate import find_contamination
 from docledger.llm.simhash import drop_near_duplicates, fingerprint_links, near_duplicates
@@ -281,3 +282,18 @@ def test_stages_keep_columns_named_like_results(spark, tmp_path):
         assert got.columns[: len(docs.columns)] == docs.columns, name
         rows = got.collect()
         assert rows and all(row[column] == f"{column}-{row.doc_id}" for row in rows for column in own), name
+
+
+def test_index_of_variants_is_never_broadcast(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "cut_lineage", kept)
+    prints = simhash.spread(spark.range(1, 200).select(F.xxhash64("id").alias("print")).union(spark.range(4).select("id")), F.xxhash64("print"))
+    found = {(row.a, row.b) for row in fingerprint_links(prints).collect()}
+    assert found == {(a, b) for a in range(4) for b in range(a)}
+    assert plans and not any("BroadcastExchange" in plan for plan in plans)
