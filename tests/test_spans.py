@@ -57,3 +57,28 @@ def test_pruning_equals_comparing_all_candidates(spark):
     assert {tuple(r)[:5] for r in pruned.collect()} == kept and len(kept) < len(rows)
     assert "Join" not in pruned._jdf.queryExecution().optimizedPlan().toString()
     assert pruned.where(F.col("size") > 12).isEmpty()
+
+
+def test_only_spans_with_a_print_that_a_field_asks_for_are_parsed(spark):
+    fields, regions = sheets()
+    placed, pages = L._fields_and_pages(spark.createDataFrame(fields, FIELDS), spark.createDataFrame(regions, REGIONS))
+    formed = L.cut_lineage(L._field_keys(placed).withColumn("_prints", L._prints()))
+    asked = L.cut_lineage(pages.select("document_id", "page_index", F.lit(12).alias("_longest")))
+    found = L._met_in_place(formed, spark.createDataFrame(regions, REGIONS), asked, max_boxes=4, fuzzy=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "vnd|d|dong" in plan and "vnd|d|dong" not in plan[plan.index("Join Inner"):]
+
+
+def test_equal_texts_have_prints_that_their_field_asks_for(spark):
+    pick = random.Random(5)
+    words = ["Số:", "so", "VND", "d", "%", "12.345", "12345", "-0,50", "0", "1.", "ngày 4", "tháng 11", "năm 2031", "4/11/2031", "2031-11-04", "Straße", "STRASSE", "ΑΣ", "ας", "ﬁn",
+             "ἀ12", "12", "İz", "đá", "Đa", "_", "|", "...", "'x'", None, " ", "Tổng", "cộng", "Ngày", "K9"]
+    regions = [("d", p, f"{p}-{k}", pick.choice(words), float(k % 4), 20.0 * (k // 4), k % 4 + 0.5, 20.0 * (k // 4) + 9) for p in range(12) for k in range(30)]
+    values = ["12345", "12345.0", "0.5", "0", "2031-11-04", "4/11/2031", "strasse", "Straße", "ας", "fin", "12", "iz", "da", "đá", "x", "|", "cộng", "K9", "so 12", None]
+    fields = [("d", f"{v}-{label}-{kind}-{p}", label, v, kind, p) for p in range(12) for v in values
+              for label, kind in (("GRAND_TOTAL", "money"), ("INVOICE_DATE", "date"), ("INVOICE_NUMBER", "identifier"), ("NOTE", "number"))]
+    f, r = spark.createDataFrame(fields, FIELDS), spark.createDataFrame(regions, REGIONS)
+    key = ("field_path", "page_index", "start", "size", "method", "region_ids")
+    in_place, by_keys = (sorted(map(tuple, L.match_cascade(f, r, max_boxes=4, fuzzy=False, page_pairs=n).select(*key).collect())) for n in (50_000, 0))
+    assert in_place == by_keys
+    assert {m.removeprefix("multi_box_") for *_, m, _ in in_place} >= {"exact", "money_normalized", "number_normalized", "date_normalized", "identifier_normalized", "anchored_exact_normalized"}
